@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.common import table
 from gridloom.llm.exact_dedup import exact_dedup
+from gridloom.llm.simhash import near_duplicates
 
 
 def op1_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("block_level", "block_name")
 
 
+def op2_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_block_naming_dedup": op1_block_naming_dedup,
+    "op2_pigeonring_simhash": op2_pigeonring_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
