@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.common import table
 from gridloom.llm.exact_dedup import exact_dedup
+from gridloom.llm.pii import personal_data
+from gridloom.llm.quality import quality
 from gridloom.llm.simhash import near_duplicates
 
 
@@ -19,9 +21,19 @@ def op2_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op6_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+def op9_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_block_naming_dedup": op1_block_naming_dedup,
     "op2_pigeonring_simhash": op2_pigeonring_simhash,
+    "op6_disclosure_pii": op6_disclosure_pii,
+    "op9_line_frequency_quality": op9_line_frequency_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
