@@ -30,8 +30,9 @@ PATTERNS = {
 #: A text without this has no match of the kind.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Code points of text on either side of a mention; letters of a term; texts that must show a term with an entity; thresholds.
-REACH, TERM_PATTERN, SUPPORT, GENERALISE, REMOVE = 80, r"\p{L}{4,}", 3, 0.8, 0.95
+#: Code points of text on either side of a mention; a term: letters that nothing ties to an address or number; texts that must show a term with an entity; thresholds.
+REACH, SUPPORT, GENERALISE, REMOVE = 80, 3, 0.8, 0.95
+TERM_PATTERN = r"(?<![\p{L}0-9@._%+-])\p{L}{4,}+(?![0-9@_%+-]|\.\S)"
 RUN = 256
 
 
@@ -123,7 +124,7 @@ def _spans(text: Column) -> Column:
 
 
 def _terms(spans: Column) -> Column:
-    """entity, term, start, end for each term around each span, terms inside a span left out."""
+    """entity, term, places of each term around each span. TERM_PATTERN finds none inside another span."""
 
     def of(span: Column) -> Column:
         def side(text: Column, c: Column, b: Column) -> Column:
@@ -134,8 +135,7 @@ def _terms(spans: Column) -> Column:
         left, right = span["around"]["left"], span["around"]["right"]
         return F.concat(side(left, span["start"] - F.length(left), span["from"] - F.octet_length(left)), side(right, span["end"], span["to"]))
 
-    free = lambda t: ~F.exists(spans, lambda s: (t["start"] < s["end"]) & (t["end"] > s["start"]))
-    return F.filter(F.flatten(F.transform(spans, of)), free)
+    return F.flatten(F.transform(spans, of))
 
 
 def disclosing(rows: DataFrame, docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
