@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.llm.byte_bpe import encoding_digest
 from gridloom.llm.common import table
 from gridloom.llm.exact_dedup import exact_dedup
+from gridloom.llm.packing import packed_documents
 from gridloom.llm.pii import personal_data
 from gridloom.llm.quality import quality
 from gridloom.llm.simhash import near_duplicates
@@ -21,6 +24,10 @@ def op2_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
@@ -29,11 +36,17 @@ def op9_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_block_naming_dedup": op1_block_naming_dedup,
     "op2_pigeonring_simhash": op2_pigeonring_simhash,
+    "op3_vector_packing": op3_vector_packing,
     "op6_disclosure_pii": op6_disclosure_pii,
     "op9_line_frequency_quality": op9_line_frequency_quality,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
