@@ -13,7 +13,7 @@ is run again gives the same sequences.
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -51,20 +51,22 @@ class Packer:
     segments: int = SEGMENTS
     loss: int = LENGTH
     pool_size: int = POOL
-    pool: list[Item] = field(default_factory=list)
-    tokens: int = 0
 
     def __post_init__(self) -> None:
         if min(self.length, self.segments, self.loss, self.pool_size) < 1 or self.length & (self.length - 1):
             raise ValueError("limits must be positive, and the length a power of two")
+        self.pool: list[Item] = []
+        #: Of each waiting item: tokens, segments and loss-bearing tokens it asks for, and tokens before the first that bears loss.
+        self.asks = np.zeros((self.pool_size + 2, 4))
+        self.scale = np.array([self.length, self.segments, self.loss], float) ** 2
+        self.tokens = 0
 
     def add(self, item: Item):
         while item.length >= self.length and item.loss <= self.loss:
             whole, item = item.cut(self.length)
             yield [whole]
         if item.length:
-            self.pool.append(item)
-            self.tokens += item.length
+            self._wait(item)
         while len(self.pool) > self.pool_size or self.tokens > self.pool_size * self.length:
             yield self._next(self.length)
 
@@ -72,56 +74,50 @@ class Packer:
         while self.tokens:
             yield self._next(min(self.length, 1 << (self.tokens.bit_length() - 1)))
 
+    def _wait(self, item: Item) -> None:
+        if len(self.pool) == len(self.asks):
+            self.asks = np.concatenate([self.asks, np.zeros_like(self.asks)])
+        self.asks[len(self.pool)] = item.length, 1, item.loss, max(0, item.loss_from - item.start)
+        self.pool.append(item)
+        self.tokens += item.length
+
+    def _take(self, k: int) -> Item:
+        item, last = self.pool[k], self.pool.pop()
+        if last is not item:
+            self.pool[k], self.asks[k] = last, self.asks[len(self.pool)]
+        self.tokens -= item.length
+        return item
+
     def _next(self, room: int) -> list[Item]:
         """One sequence of exactly `room` tokens, or of a smaller power of two where another limit binds."""
-        scale = np.array([self.length, self.segments, self.loss], float)
-        asks = np.array([(i.length, 1, i.loss) for i in self.pool], float)
-        left, free, out = np.array([room, self.segments, self.loss], float), np.ones(len(asks), bool), []
-        while left.min() > 0 or (left[0] > 0 and left[1] > 0):
-            fits = free & (asks <= left).all(1)
-            if fits.any():
-                best = int(np.argmax(np.where(fits, (asks / scale) @ (left / scale), -1)))
-                item = self.pool[best]
-            else:
-                best, item = self._part(left, free)
-                if item is None:
+        left, out = np.array([room, self.segments, self.loss], float), []
+        while self.pool and left[0] > 0 and left[1] > 0:
+            asks = self.asks[: len(self.pool)]
+            worth = np.where((asks[:, :3] <= left).all(1), asks[:, :3] @ (left / self.scale), -1)
+            best = int(worth.argmax())
+            if worth[best] >= 0:
+                item = self._take(best)
+            else:  # the longest head that fits, of the shortest of the items that have it
+                heads = np.minimum(np.minimum(asks[:, 0], left[0]), asks[:, 3] + left[2])
+                if heads.max() < 1:
                     break
-            free[best] = False
+                best = int(np.lexsort((asks[:, 0], -heads))[0])
+                item, tail = self._take(best).cut(int(heads[best]))
+                self._wait(tail)
             out.append(item)
             left -= (item.length, 1, item.loss)
-        rest = [i for i, f in zip(self.pool, free, strict=True) if f]
-        taken = {id(i): i for i in self.pool}
-        for best in np.flatnonzero(~free):
-            whole = self.pool[best]
-            used = next(i for i in out if i.owner is whole.owner and i.start == whole.start)
-            if used.length < whole.length:
-                rest.append(whole.cut(used.length)[1])
-        del taken
         size = sum(i.length for i in out)
-        keep = size if size == self.length else 1 << (size.bit_length() - 1)
+        keep = 1 << (size.bit_length() - 1)
         while size > keep:
             item = out.pop()
             size -= item.length
             if size < keep:
-                head, tail = item.cut(keep - size)
+                head, item = item.cut(keep - size)
                 out.append(head)
                 size = keep
-                rest.append(tail)
-            else:
-                rest.append(item)
-        self.pool, self.tokens = rest, sum(i.length for i in rest)
+            self._wait(item)
         return out
 
-    def _part(self, left: np.ndarray, free: np.ndarray) -> tuple[int, Item | None]:
-        """The longest head that fits, of the shortest item that fills the rest, else of any."""
-        best, most = -1, 0
-        for k in np.flatnonzero(free):
-            item = self.pool[k]
-            head = min(item.length, int(left[0]), max(0, item.loss_from - item.start) + int(left[2]))
-            if head > most or (head == most and best >= 0 and item.length < self.pool[best].length):
-                best, most = int(k), head
-        return best, self.pool[best].cut(most)[0] if most else None
-
 
 class WordIds(dict):
     """The packed ids of each word between white space: the tokeniser drops white space, so words are encoded apart and kept.
