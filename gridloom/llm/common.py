@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: White space of the contracts, as a Java and Python pattern.
 SPACES = r"[\x20\x09-\x0D]+"
+#: Values that running() merges at a time.
+RUN = 256
 
 _written: list[tuple[SparkSession, str]] = []
 _own_root: dict[str, str] = {}
@@ -73,3 +75,21 @@ def text_of(column: str = "text") -> Column:
 def ascii_lower(value: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(value, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def running(values: Column, zero: Column, merge, body) -> Column:
+    """body(before), where before(i) merges the values before i. Runs of RUN values are merged ahead, so many values cost a run each."""
+
+    def over(v: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / RUN).cast("int")), lambda r: F.aggregate(F.slice(v, F.lit(1), r * RUN), zero, merge))
+
+        def with_runs(ahead: Column) -> Column:
+            def before(i: Column) -> Column:
+                run = F.floor(i / RUN).cast("int")
+                return F.aggregate(F.slice(v, run * RUN + 1, i % RUN), ahead[run], merge)
+
+            return body(before)
+
+        return let(runs, with_runs)
+
+    return let(values, over)

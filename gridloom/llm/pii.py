@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import SPACES, let, materialize, text_of
+from gridloom.llm.common import let, materialize, running, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -33,7 +33,6 @@ BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Code points of text on either side of a mention; a term: letters that nothing ties to an address or number; texts that must show a term with an entity; thresholds.
 REACH, SUPPORT, GENERALISE, REMOVE = 80, 3, 0.8, 0.95
 TERM_PATTERN = r"(?<![\p{L}0-9@._%+-])\p{L}{4,}+(?![0-9@_%+-]|\.\S)"
-RUN = 256
 
 
 def _digits(match: Column) -> Column:
@@ -60,24 +59,6 @@ def _valid(kind: str, match: Column) -> Column:
     return size.between(10, 15) if kind == "phone" else F.when(size.between(14, 19), let(_digits(match), _luhn)).otherwise(F.lit(False))
 
 
-def running(values: Column, zero: Column, merge, body) -> Column:
-    """body(before), where before(i) merges the values before i. Runs of RUN values are merged ahead, so many values cost a run each."""
-
-    def over(v: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / RUN).cast("int")), lambda r: F.aggregate(F.slice(v, F.lit(1), r * RUN), zero, merge))
-
-        def with_runs(ahead: Column) -> Column:
-            def before(i: Column) -> Column:
-                run = F.floor(i / RUN).cast("int")
-                return F.aggregate(F.slice(v, run * RUN + 1, i % RUN), ahead[run], merge)
-
-            return body(before)
-
-        return let(runs, with_runs)
-
-    return let(values, over)
-
-
 def places(text: Column, pattern: str, extra=None) -> Column:
     """start, end (code points), from, to (bytes), value of each match in text, and what extra(before, after) makes of the text on either side."""
 

@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.byte_bpe import encoding_digest
+from gridloom.llm.chat import chat_digest
 from gridloom.llm.common import table
 from gridloom.llm.exact_dedup import exact_dedup
 from gridloom.llm.packing import packed_documents
 from gridloom.llm.pii import personal_data
 from gridloom.llm.quality import quality
 from gridloom.llm.simhash import near_duplicates
+from gridloom.llm.toxicity import toxicity
 
 
 def op1_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +30,17 @@ def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_relational_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat_digest(rows.unionByName(more)).drop("n_blocks")
+
+
 def op6_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
@@ -44,6 +57,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_block_naming_dedup": op1_block_naming_dedup,
     "op2_pigeonring_simhash": op2_pigeonring_simhash,
     "op3_vector_packing": op3_vector_packing,
+    "op4_lexicon_toxicity": op4_lexicon_toxicity,
+    "op5_relational_chat": op5_relational_chat,
     "op6_disclosure_pii": op6_disclosure_pii,
     "op9_line_frequency_quality": op9_line_frequency_quality,
     "op10_byte_bpe": op10_byte_bpe,
@@ -55,4 +70,19 @@ ORACLE_SQL: dict[str, str] = {
         g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
         SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
         FROM t JOIN g USING (norm)""",
+    "op5_relational_chat": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e AS (
+            SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS last_role,
+                regexp_replace(regexp_replace(text, '(\[/?)(!*)(INST|ANS|ROLE|TEXT|NEXT)\]', '\1!\2\3]', 'g'), '(</?)(!*)(s)>', '\1!\2\3>', 'g') AS safe,
+                regexp_replace(regexp_replace(role, '(\[/?)(!*)(INST|ANS|ROLE|TEXT|NEXT)\]', '\1!\2\3]', 'g'), '(</?)(!*)(s)>', '\1!\2\3>', 'g') AS safe_role
+            FROM c)
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            (3 + sum(length(safe) + CASE WHEN last_role IS NOT DISTINCT FROM role THEN 6 WHEN role = 'user' THEN 13 WHEN role = 'assistant' THEN 9 ELSE 19 + length(safe_role) END))::BIGINT AS formatted_chars
+        FROM e GROUP BY conv_id""",
 }
