@@ -1,11 +1,11 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick.
 
-Texts and lexicon are folded: compatibility forms, case, accents, homoglyphs of other scripts, and digits or signs that
-stand for letters inside a word. The lexicon holds beginnings of words, learned from labelled texts: of the
-beginnings that are rare in other texts, those that explain the most toxic texts not yet explained often enough are
-taken, each with its log-odds as weight. Words that begin like an entry but are found in other texts are exceptions, as are
+Texts and lexicon are folded: compatibility forms, case, homoglyphs of other scripts, and digits or signs that
+stand for letters inside a word; a word with accents is matched as it is and without them. The lexicon holds
+beginnings of words, learned from labelled texts: of the beginnings that toxic texts show at many times the rate of others, those
+that explain the most toxic texts not yet explained often enough are taken, each with its log-odds as weight. Words that begin like an entry but are found in other texts are exceptions, as are
 phrases that are given; where an exception holds a match, the match is void. The hits' weights, their sum for
-each word of the text, and the number of different entries give the score through a logistic model.
+each word of the text, and the number of words hit give the score through a logistic model.
 
 The sample that is learned from is bounded (SAMPLE_TOXIC, SAMPLE_OTHER, chosen by a hash of doc_id); scoring
 runs over whole texts, row by row, with no shuffle.
@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -28,8 +30,8 @@ from gridloom.llm.common import materialize
 
 #: Labelled rows to learn from, at most so many of each label.
 SAMPLE_TOXIC, SAMPLE_OTHER = 6_000, 18_000
-#: Lengths of beginnings; toxic texts that must show one; share of other texts that may; times each toxic text is to be explained; entries at most.
-SHORTEST, LONGEST, SUPPORT, OTHERS, COVER, ENTRIES = 4, 8, 3, 0.001, 3, 1000
+#: Lengths of beginnings; toxic texts that must show one; how many times the rate of other texts that must be; times each toxic text is to be explained; entries at most.
+SHORTEST, LONGEST, SUPPORT, RATIO, COVER, ENTRIES = 4, 8, 3, 10, 3, 1000
 THRESHOLD = 0.3
 
 #: Letters of other scripts that look like Latin ones.
@@ -43,25 +45,33 @@ WORD = re.compile(r"[^\W_]+")
 class _Fold(dict):
     """What each code point becomes: made when it is met, for str.translate."""
 
+    def __init__(self, accents: bool):
+        super().__init__()
+        self.accents = accents
+
     def __missing__(self, point: int) -> str:
-        char = chr(point)
-        plain = unicodedata.normalize("NFKD", char.lower()).lower()
-        out = "".join(HOMOGLYPHS.get(c, c) for c in plain if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
-        self[point] = out
+        plain = unicodedata.normalize("NFKD", chr(point).lower()).lower()
+        bare = "".join(HOMOGLYPHS.get(c, c) for c in plain if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
+        marks = [c for c in plain if unicodedata.combining(c)] if self.accents else []
+        self[point] = out = unicodedata.normalize("NFC", "".join([bare, *marks]))
         return out
 
 
-_fold = _Fold()
+_kept, _bare = _Fold(True), _Fold(False)
+
+
+def fold(text: str | None) -> tuple[str, str]:
+    """The folded words, each with a space in front; then those that lose an accent, without it."""
+    folded = INSIDE.sub(lambda m: SUBSTITUTES.get(m[0], m[0]), (text or "").translate(_kept))
+    words = WORD.findall(unicodedata.normalize("NFC", folded))
+    return "".join([" " + w for w in words]), "".join([" " + w.translate(_bare) for w in words if not w.isascii()])
 
 
-def fold(text: str | None) -> str:
-    """The folded words, each with a space in front."""
-    folded = INSIDE.sub(lambda m: SUBSTITUTES.get(m[0], m[0]), (text or "").translate(_fold))
-    return "".join([" " + w for w in WORD.findall(folded)])
+def words_of(text: str | None) -> set[str]:
+    return set("".join(fold(text)).split(" ")) - {""}
 
 
-def beginnings(folded: str) -> set[str]:
-    words = set(folded.split(" ")) - {""}
+def beginnings(words: set[str]) -> set[str]:
     return {w[:n] for w in words for n in range(SHORTEST, LONGEST + 1) if len(w) >= n}
 
 
@@ -79,7 +89,7 @@ class Lexicon:
             for entry, weight in self.weights.items():
                 self._machine.add_word(" " + entry, (len(entry), entry, weight))
             for phrase in self.exceptions:
-                folded = fold(phrase)
+                folded = fold(phrase)[0]
                 if folded:
                     self._machine.add_word(folded + " ", (len(folded), None, 0.0))
             if len(self._machine):
@@ -90,32 +100,28 @@ class Lexicon:
         return {"weights": self.weights, "exceptions": self.exceptions, "model": self.model}
 
     def features(self, text: str | None) -> np.ndarray:
-        """log(1 + weights of the hits), weights for each word, different entries."""
-        folded = fold(text)
+        """log(1 + x) of the hits' weights, of a hundred times that for each word, and of the number of different words hit."""
+        kept, bare = fold(text)
         machine = self.machine()
-        if machine is None or not folded:
+        if machine is None or not kept:
             return np.zeros(3)
-        hits, void = [], []
-        for end, (size, entry, weight) in machine.iter(folded + " "):
-            if entry is None:
-                void.append((end - size, end))
-            else:
-                hits.append((end - size, end, entry, weight))
-        if void:
+        total, hit = 0.0, set()
+        for folded in (kept + " ", bare + " "):
+            found, void = {}, []
+            for end, (size, entry, weight) in machine.iter(folded):
+                if entry is None:
+                    void.append((end - size, end))
+                else:  # entries that begin alike count once a word
+                    found[end - size] = max(found.get(end - size, 0.0), weight)
             void.sort()
-            starts = np.array([a for a, _ in void])
-            reach = np.maximum.accumulate([b for _, b in void])
-            kept = []
-            for hit in hits:
-                k = int(np.searchsorted(starts, hit[0], "right")) - 1
-                if k < 0 or reach[k] < hit[1]:
-                    kept.append(hit)
-            hits = kept
-        by_word: dict[int, tuple[float, str]] = {}
-        for start, _, entry, weight in hits:  # entries that begin alike count once a word
-            by_word[start] = max(by_word.get(start, (0.0, "")), (weight, entry))
-        total = sum(w for w, _ in by_word.values())
-        return np.array([np.log1p(total), total / max(1, folded.count(" ")), np.log1p(len({e for _, e in by_word.values()}))])
+            starts, reach = [a for a, _ in void], [*accumulate((b for _, b in void), max)]
+            for start, weight in found.items():
+                k = bisect_right(starts, start) - 1
+                word = folded[start + 1 : folded.index(" ", start + 2)]
+                if k < 0 or reach[k] <= start:
+                    total += weight
+                    hit.add(word)
+        return np.log1p([total, 100 * total / kept.count(" "), len(hit)])
 
     def score(self, text: str | None) -> float:
         z = self.model[0] + float(np.dot(self.model[1:], self.features(text)))
@@ -129,7 +135,7 @@ def _counted(sample: DataFrame) -> DataFrame:
         counts = Counter()
         for batch in batches:
             for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
-                counts.update((f, toxic) for f in beginnings(fold(text.as_py())))
+                counts.update((f, toxic) for f in beginnings(words_of(text.as_py())))
         items = [*counts.items()]
         for at in range(0, len(items), 100_000):
             some = items[at : at + 100_000]
@@ -138,8 +144,8 @@ def _counted(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(run, "feature string, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def _chosen(shown: list[set[str]], candidates: dict[str, tuple[int, int]]) -> list[str]:
-    """Greedy multiple cover of the toxic texts (the candidates each shows); shorter beginnings win ties."""
+def _chosen(shown: list[set[str]], candidates: dict[str, tuple[int, int]], cost: float) -> list[str]:
+    """Greedy multiple cover of the toxic texts (the candidates each shows), less cost for each other text; shorter beginnings win ties."""
     need, gain, where = [min(COVER, len(s)) for s in shown], Counter(), {}
     for i, s in enumerate(shown):
         for f in s:
@@ -147,7 +153,7 @@ def _chosen(shown: list[set[str]], candidates: dict[str, tuple[int, int]]) -> li
             where.setdefault(f, []).append(i)
     out: list[str] = []
     while len(out) < ENTRIES and gain:
-        best = max(gain, key=lambda f: (gain[f] - candidates[f][1] * 5, -len(f), f))
+        best = max(gain, key=lambda f: (gain[f] - candidates[f][1] * cost, -len(f), f))
         if gain[best] < SUPPORT:
             break
         out.append(best)
@@ -175,25 +181,24 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (),
     n_toxic, n_other = sizes.get(1, (0, 0))[0], sizes.get(0, (0, 0))[0]
     if not n_toxic:
         return Lexicon({}, [*exceptions])
-    counted = _counted(sample).filter((F.col("toxic") >= SUPPORT) & (F.col("other") <= max(0.0, OTHERS * n_other))).filter(F.col("toxic") * n_other > 20 * F.col("other") * n_toxic)
+    counted = _counted(sample).filter((F.col("toxic") >= SUPPORT) & (F.col("toxic") * n_other > RATIO * F.col("other") * n_toxic))
     candidates = {r["feature"]: (r["toxic"], r["other"]) for r in counted.orderBy(F.desc("toxic"), "feature").limit(20 * ENTRIES).collect()}
 
     def run(batches):
         for batch in batches:
-            rows = [sorted(beginnings(fold(t.as_py())) & candidates.keys()) for t in batch.column("text")]
+            rows = [sorted(beginnings(words_of(t.as_py())) & candidates.keys()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], ["shown"])
 
     shown = [set(r["shown"]) for r in sample.filter("toxic = 1").select("text").distinct().mapInArrow(run, "shown array<string>").collect()]
     weight = lambda t, o: float(np.log((t + 0.5) / (n_toxic + 1)) - np.log((o + 0.5) / (n_other + 1)) - np.sqrt(1 / (t + 0.5) + 1 / (o + 0.5)) / 2)
-    weights = {f: w for f in _chosen(shown, candidates) if (w := weight(*candidates[f])) > 1}
+    weights = {f: w for f in _chosen(shown, candidates, 2 * n_toxic / max(1, n_other)) if (w := weight(*candidates[f])) > 1}
     lexicon = Lexicon(weights, [*exceptions])
 
     def whole_words(batches):
         counts = Counter()
         for batch in batches:
             for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
-                words = set(fold(text.as_py()).split(" ")) - {""}
-                counts.update((w, toxic) for w in words if any(w[:n] in weights for n in range(SHORTEST, LONGEST + 1)))
+                counts.update((w, toxic) for w in words_of(text.as_py()) if any(w[:n] in weights for n in range(SHORTEST, LONGEST + 1)))
         rows = [*counts.items()]
         yield pa.RecordBatch.from_arrays([pa.array([w for (w, _), _ in rows], pa.string()), pa.array([t for (_, t), _ in rows], pa.int64()), pa.array([n for _, n in rows], pa.int64())], ["word", "toxic", "n"])
 

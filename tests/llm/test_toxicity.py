@@ -9,8 +9,9 @@ SCHEMA = "doc_id long, text string, score double, toxic int"
 
 
 def test_folding():
-    assert fold("Ｍ0r0n M0RÖN moron! rn$ron мoron l0ser 42 go!") == " moron moron moron rnsron moron loser 42 go"
-    assert fold(None) == fold("") == fold(" \n!?") == ""
+    assert fold("Ｍ0r0n M0RÖN moron! rn$ron мoron l0ser 42 go!") == (" moron morön moron rnsron moron loser 42 go", " moron")
+    assert fold("e\u0301t\u00e9") == (" été", " ete")
+    assert fold(None) == fold("") == fold(" \n!?") == ("", "")
 
 
 def test_exceptions_and_length():
@@ -18,6 +19,7 @@ def test_exceptions_and_length():
     assert lexicon.features("a Loser here")[0] > 0
     assert not lexicon.features("the sore LOSER club").any() and not lexicon.features("in loserville").any()
     assert lexicon.features("the sore loser clubs")[0] > 0 and not lexicon.features("closer").any()
+    assert lexicon.features("löser")[0] == lexicon.features("loser")[0]
     assert lexicon.features("loser")[1] > lexicon.features("loser " + "word " * 50)[1]
     assert not Lexicon({}, []).features("loser").any()
 
