@@ -11,6 +11,7 @@ from gridloom.llm.byte_bpe import encoding_digest
 from gridloom.llm.chat import chat_digest
 from gridloom.llm.common import table
 from gridloom.llm.exact_dedup import exact_dedup
+from gridloom.llm.lm_scoring import lm_scores
 from gridloom.llm.packing import packed_documents
 from gridloom.llm.pii import personal_data
 from gridloom.llm.quality import quality
@@ -45,6 +46,10 @@ def op6_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op7_log_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lexicon_toxicity": op4_lexicon_toxicity,
     "op5_relational_chat": op5_relational_chat,
     "op6_disclosure_pii": op6_disclosure_pii,
+    "op7_log_bloom_lm": op7_log_bloom_lm,
     "op9_line_frequency_quality": op9_line_frequency_quality,
     "op10_byte_bpe": op10_byte_bpe,
 }
