@@ -128,9 +128,13 @@ def disclosing(rows: DataFrame, docs: DataFrame, support: int = SUPPORT, general
         return pairs.select("entity", "term", F.lit(False).alias("removed"))
     entities = rows.select("text_key", F.explode("spans.entity").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
     n = docs.select(F.xxhash64(text_of()).alias("text_key")).distinct().count()
+    # A term is in at least the texts that show it around a mention: if that is too many for the threshold, its count isn't needed.
+    seen = rows.select("text_key", F.explode("terms.term").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df_least"))
+    may = F.col("df_least") <= F.col("df_both") * F.pow(F.lit(float(n)) / F.col("df_entity"), F.lit(1 - generalise)) * 1.000001
+    pairs = materialize(pairs.join(entities, "entity").join(seen, "term").filter(may).select("entity", "term", "df_both", "df_entity"), "pii-candidates")
     words = docs.select(F.xxhash64(text_of()).alias("text_key"), F.explode(F.array_distinct(F.split(F.lower(text_of()), r"[^\p{L}]+"))).alias("term"))
     terms = words.join(pairs.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
-    scored = pairs.join(entities, "entity").join(terms, "term")
+    scored = pairs.join(terms, "term")
     share = F.when(F.col("df_entity") < n, F.log2(F.col("df_both") * F.lit(float(n)) / F.col("df_term") / F.col("df_entity")) / F.log2(F.lit(float(n)) / F.col("df_entity")))
     return materialize(scored.withColumn("share", share).filter(F.col("share") >= generalise).select("entity", "term", (F.col("share") >= remove).alias("removed")), "pii-disclosing")
 
