@@ -12,7 +12,11 @@ is run again gives the same sequences.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -119,29 +123,134 @@ class Packer:
         return out
 
 
-class WordIds(dict):
-    """The packed ids of each word between white space: the tokeniser drops white space, so words are encoded apart and kept.
+class Merges:
+    """Pair merging of many words at once, for a vocabulary file with byte-level symbols and an end-of-word suffix.
 
-    Emptied when it has grown to `most` words; long words aren't kept.
+    A row of symbols and a row of ranks of adjacent pairs stand for each word; every round merges each word's pair of the
+    lowest rank, leftmost first, so a round is a few array operations however many words there are.
     """
 
-    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
-        super().__init__()
-        from tokenizers import Tokenizer
+    NONE = 1 << 30
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        shown = _byte_symbols()
+        if max(vocab.values()) >= 1 << 16:
+            raise ValueError("a pair of ids must fit in 32 bits")
+        self.bytes = np.array([vocab[c] for c in shown], np.uint32)
+        self.last = np.array([vocab[c + end] for c in shown], np.uint32)
+        keys = np.array([vocab[a] << 16 | vocab[b] for a, b in merges], np.uint32)
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], order.astype(np.int32)
+        self.made = np.array([vocab[a + b] for a, b in merges], np.uint32)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << np.uint32(16) | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], np.int32(self.NONE))
+
+    def ids(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The packed ids of each word, none of them empty."""
+        out: dict[bytes, bytes] = {}
+        words = sorted(words, key=len)
+        for at in range(0, len(words), 2048):
+            self._merge(words[at : at + 2048], out)
+        return out
 
-        self.tokenizer, self.most, self.longest = Tokenizer.from_file(path), most, longest
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    def _merge(self, words: list[bytes], out: dict[bytes, bytes]) -> None:
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        column = np.arange(int(size[-1]) + 1)
+        row, ids = np.arange(len(words)), np.zeros((len(words), len(column)), np.uint32)
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        ids[column < size[:, None]] = self.bytes[raw]
+        ids[row, size - 1] = self.last[raw[np.cumsum(size) - 1]]
+        ranks = np.full(ids.shape, self.NONE, np.int32)
+        ranks[:, :-1] = np.where(column[1:] < size[:, None], self._rank(ids[:, :-1], ids[:, 1:]), self.NONE)
+        names = np.array(words, object)
+        while len(names):
+            best = ranks.argmin(1)
+            rank = ranks[np.arange(len(best)), best]
+            over = rank == self.NONE
+            if over.any():
+                for word, n, found in zip(names[over], size[over].tolist(), ids[over].astype("<u4", copy=False), strict=True):
+                    out[word] = found[:n].tobytes()
+                more = ~over
+                names, size, ids, ranks, best, rank = names[more], size[more], ids[more], ranks[more], best[more], rank[more]
+            if not len(names):
+                return
+            row = np.arange(len(best))
+            old = np.minimum(column + (column > best[:, None]), column[-1])
+            ids, ranks = np.take_along_axis(ids, old, 1), np.take_along_axis(ranks, old, 1)
+            ids[row, best] = self.made[rank]
+            size = size - 1
+            ranks[row, best] = np.where(best + 1 < size, self._rank(ids[row, best], ids[row, best + 1]), self.NONE)
+            left = best > 0
+            ranks[row[left], best[left] - 1] = self._rank(ids[row[left], best[left] - 1], ids[row[left], best[left]])
+
+
+def _byte_symbols() -> list[str]:
+    """The character that stands for each byte: itself if it is printable in Latin-1, else the next from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
+#: The tokeniser's pieces of a lower-case text in Latin-1.
+PIECES_LATIN1 = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\sa-z0-9ªµºß-öø-ÿ²³¹¼-¾]+")
+#: These are white space to Python only; texts with them go the other way.
+CONTROL, ASCII_SPACES = re.compile("[\x1c-\x1f]"), re.compile(r"[\x20\x09-\x0D]+")
+
+
+class WordIds:
+    """The packed ids of texts. The tokeniser works on pieces of a text apart, so each piece's ids are kept.
+
+    Texts in Latin-1 are lower-cased and cut into pieces here, and Merges takes the new ones many at a time. Other texts are cut
+    at ASCII white space, which the tokeniser drops, and it encodes the new words itself. Two generations of `most`
+    pieces each are kept: those that are met again move to the younger.
+    """
 
-    def __missing__(self, word: bytes) -> bytes:
-        packed = np.array(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= self.longest:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = packed
-        return packed
+    def __init__(self, path: str, most: int = 200_000, longest: int = 48):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
 
-    def ids(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").encode("utf-8").split()))
+        self.tokenizer, self.merges, self.most, self.longest = Tokenizer.from_file(path), Merges(path), most, longest
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    @staticmethod
+    def _latin1(text: str) -> bool:
+        return text.isascii() or max(text) < "\u0100"
+
+    def _cut(self, text: str) -> list[str]:
+        if self._latin1(text) and not CONTROL.search(text):
+            return PIECES_LATIN1.findall(text.lower())
+        return ASCII_SPACES.split(text)
+
+    def _learn(self, new: set[str]) -> None:
+        found = {p: ids for p in new if (ids := self.old.get(p)) is not None}
+        fresh = [p for p in new if p not in found]
+        plain = [p for p in fresh if len(p) <= self.longest and self._latin1(p) and p == p.lower() and PIECES_LATIN1.fullmatch(p)]
+        packed = [p.encode("utf-8") for p in plain]
+        known = self.merges.ids(packed)
+        found |= zip(plain, map(known.__getitem__, packed), strict=True)
+        other = [p for p in fresh if p not in found]
+        for at in range(0, len(other), 1024):
+            some = other[at : at + 1024]
+            encoded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            found |= {p: array("I", e.ids).tobytes() for p, e in zip(some, encoded, strict=True)}
+        self.young |= found
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        cut = [self._cut(text or "") for text in texts]
+        self._learn(set().union(*cut).difference(self.young))
+        out = [b"".join(map(self.young.__getitem__, pieces)) for pieces in cut]
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        return out
 
 
 _loaded: dict[str, WordIds] = {}
@@ -185,10 +294,12 @@ def packed_documents(docs: DataFrame, path: str, end_id: int = 2, length: int =
             return out
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = words.ids(text.as_py()) + end
-                for sequence in packer.add(Item((doc, ids), 0, len(ids) // 4)):
-                    written(sequence)
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
+                for doc, ids in zip(some.column("doc_id").to_pylist(), words.ids(some.column("text").to_pylist()), strict=True):
+                    ids += end
+                    for sequence in packer.add(Item((doc, ids), 0, len(ids) // 4)):
+                        written(sequence)
                 if len(rows) >= 5000:
                     yield flushed()
         for sequence in packer.finish():

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from gridloom.llm.packing import Item, Packer, packed_documents
+from gridloom.llm.packing import Item, Packer, packed_documents, word_ids
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -72,3 +72,13 @@ def test_documents(spark):
         size = sum(r.length for r in s)
         assert size <= 4096 and size & (size - 1) == 0
     assert packed_documents(docs.limit(0), PATH).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=20), st.text("aeiouthrnsél.,!ÀÿßµªºÅ#$ \n'19", max_size=60)), max_size=30))
+def test_ids_are_the_tokeniser_s(texts):
+    tokenizer = Tokenizer.from_file(PATH)
+    tokenizer.encode_special_tokens = True
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    words = word_ids(PATH)
+    assert words.ids(texts) == want and words.ids(texts) == want
