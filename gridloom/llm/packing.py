@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH, SEGMENTS, POOL = 4096, 1024, 1024
+#: Rows that are cut into pieces together.
+CHUNK = 256
 #: Sequences of one task are numbered from its partition's number times this.
 STRIDE = 1 << 36
 
@@ -212,7 +214,7 @@ class WordIds:
     pieces each are kept: those that are met again move to the younger.
     """
 
-    def __init__(self, path: str, most: int = 200_000, longest: int = 48):
+    def __init__(self, path: str, most: int = 400_000, longest: int = 48):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -223,7 +225,13 @@ class WordIds:
 
     @staticmethod
     def _latin1(text: str) -> bool:
-        return text.isascii() or max(text) < "\u0100"
+        if text.isascii():
+            return True
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return True
 
     def _cut(self, text: str) -> list[str]:
         if self._latin1(text) and not CONTROL.search(text):
@@ -294,8 +302,8 @@ def packed_documents(docs: DataFrame, path: str, end_id: int = 2, length: int =
             return out
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, CHUNK):
+                some = batch.slice(at, CHUNK)
                 for doc, ids in zip(some.column("doc_id").to_pylist(), words.ids(some.column("text").to_pylist()), strict=True):
                     ids += end
                     for sequence in packer.add(Item((doc, ids), 0, len(ids) // 4)):
