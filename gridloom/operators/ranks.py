@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,15 +28,18 @@ def rank_cells(cells: DataFrame, ties: list[str], keys: tuple[str, ...] = ("row_
 def rank_values(wide: DataFrame, first: int = 1, ascending: bool = True) -> DataFrame:
     """Each row's vector as dense ranks, as doubles: one Arrow batch at a time, no explode and no shuffle. NaN is the largest value."""
 
-    @F.pandas_udf("array<double>")
-    def ranked(rows: pd.Series) -> pd.Series:
-        def one(v: np.ndarray) -> np.ndarray:
-            distinct, where = np.unique(np.asarray(v, float) + 0.0, return_inverse=True)
-            return (where if ascending else len(distinct) - 1 - where) + float(first)
+    def one(v: np.ndarray) -> np.ndarray:
+        distinct, where = np.unique(v + 0.0, return_inverse=True)
+        return (where if ascending else len(distinct) - 1 - where) + float(first)
 
-        return rows.map(one)
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("values")
+            ranked = [one(np.asarray(v, float)) for v in batch.column(at).to_pylist()]
+            yield batch.set_column(at, "values", pa.array(ranked, pa.list_(pa.float64())))
 
-    return wide.withColumn("values", ranked("values"))
+    fields = ", ".join(f"`{c}` {'array<double>' if c == 'values' else kind}" for c, kind in wide.dtypes)
+    return wide.mapInArrow(run, fields)
 
 
 def _fenwick(keys: np.ndarray, weights: np.ndarray, concordant: bool) -> np.ndarray:

@@ -394,7 +394,7 @@ def cell_bounds(spark, sf_dir):
 # --- text ---
 
 
-@query("SELECT doc_id, len(list_filter(string_split(text, ' '), x -> x <> ''))::INT AS n, (CASE WHEN text = '' THEN 0 ELSE len(string_split(text, ' ')) END)::INT AS n_with_empty FROM documents")
+@query("SELECT doc_id, len(list_filter(string_split(text, ' '), lambda x: x <> ''))::INT AS n, (CASE WHEN text = '' THEN 0 ELSE len(string_split(text, ' ')) END)::INT AS n_with_empty FROM documents")
 def token_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.count_tokens(F.col("text"), " ").alias("n"), T.count_tokens(F.col("text"), " ", empty=True).alias("n_with_empty"))
 
