@@ -11,6 +11,7 @@ from gridloom.llm.byte_bpe import encoding_digest
 from gridloom.llm.chat import chat_digest
 from gridloom.llm.common import table
 from gridloom.llm.exact_dedup import exact_dedup
+from gridloom.llm.licences import licence_scan
 from gridloom.llm.lm_scoring import lm_scores
 from gridloom.llm.packing import packed_documents
 from gridloom.llm.pii import personal_data
@@ -50,6 +51,10 @@ def op7_log_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op8_dice_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(table(spark, sf_dir, "documents"))
+
+
 def op9_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_relational_chat": op5_relational_chat,
     "op6_disclosure_pii": op6_disclosure_pii,
     "op7_log_bloom_lm": op7_log_bloom_lm,
+    "op8_dice_licences": op8_dice_licences,
     "op9_line_frequency_quality": op9_line_frequency_quality,
     "op10_byte_bpe": op10_byte_bpe,
 }
