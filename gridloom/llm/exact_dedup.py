@@ -93,6 +93,7 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_bits: int
     rows = materialize(identities(docs, block_bytes, hash_bits), "dedup-ids")
     order = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("rid").alias("rid"))
     groups = rows.groupBy("level", "name").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("group_size"))
+    groups = materialize(groups, "dedup-groups")  # apart, so that a hot group can be split
     out = rows.join(groups, ["level", "name"])
     return out.select("doc_id", F.col("least.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("least.rid")).alias("kept"), "text_sha256", F.col("level").alias("block_level"), F.col("name").alias("block_name"))
 
