@@ -66,7 +66,7 @@ def profile(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     lines = let(_worded(F.split(text, "\n", -1)), lambda a: F.struct(
         (F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
         let(F.transform(a, line_key), lambda keys: F.transform(a, lambda line, i: F.struct(
-            keys[i].alias("key"), F.xxhash64(F.get(keys, i - 1), F.get(keys, i + 1)).alias("context"), F.size(words_of(line)).alias("n_words")))).alias("lines")))
+            keys[i].alias("key"), F.xxhash64(F.coalesce(F.get(keys, i - 1), F.lit(0)), F.coalesce(F.get(keys, i + 1), F.lit(0))).alias("context"), F.size(words_of(line)).alias("n_words")))).alias("lines")))
     symbols = F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long")
     out = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("text_key"), stats.alias("s"), lines.alias("l"), symbols.alias("n_symbols"))
     return out.select("doc_id", "host", "text_key", "s.*", "l.*", "n_symbols")
@@ -74,8 +74,8 @@ def profile(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def frequent_lines(rows: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, variety: float = LINE_VARIETY) -> DataFrame:
     """host, key of the lines above the limits. rows: those of profile()."""
-    met = rows.select("host", "text_key", F.explode("lines").alias("line")).select("host", "text_key", "line.key", "line.context")
-    once = met.groupBy("host", "key", "text_key").agg(F.min("context").alias("context"))
+    met = rows.select("host", "text_key", F.posexplode("lines").alias("pos", "line")).select("host", "text_key", "pos", "line.key", "line.context")
+    once = met.groupBy("host", "key", "text_key").agg(F.min(F.struct("pos", "context"))["context"].alias("context"))
     around = once.groupBy("host", "key", "context").agg(F.count(F.lit(1)).alias("n"))
     counts = around.groupBy("host", "key").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_contexts"))
     counts = counts.filter((F.col("n_docs") > line_docs) & (F.col("n_contexts") >= variety * F.col("n_docs")))

@@ -42,10 +42,10 @@ def brute_kept(rows):
         for t in all_of:
             keys = [line_key(x) for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
             for i, k in reversed(list(enumerate(keys))):
-                around[k].setdefault(t, set()).add((keys[i - 1] if i else None, keys[i + 1] if i + 1 < len(keys) else None))
+                around[k][t] = (keys[i - 1] if i else None, keys[i + 1] if i + 1 < len(keys) else None)
         for k, by_text in around.items():
             n = len(by_text)
-            if n > 10 and n > 0.005 * len(all_of) and len({min(map(str, c)) for c in by_text.values()}) >= 0.5 * n:
+            if n > 10 and n > 0.005 * len(all_of) and len({*by_text.values()}) >= 0.5 * n:
                 often.add((host, k))
     out = []
     for i, t, s in rows:
