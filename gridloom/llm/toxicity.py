@@ -172,9 +172,9 @@ def _chosen(shown: list[set[str]], candidates: dict[str, tuple[int, int]], cost:
 def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (), toxic_rows: int = SAMPLE_TOXIC, other_rows: int = SAMPLE_OTHER) -> Lexicon:
     """Learns from labelled rows; labels: doc_id, toxic (rows with another label than 0 and 1 are left out). Without toxic rows the lexicon is empty and all scores are low."""
     known = labels.filter("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("long").alias("toxic")).dropDuplicates(["_id"])
-    size = dict(known.groupBy("toxic").count().collect())
-    share = F.when(F.col("toxic") == 1, F.lit(toxic_rows / max(1, size.get(1, 0)))).otherwise(F.lit(other_rows / max(1, size.get(0, 0))))
-    known = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < share * (1 << 20))
+    some = lambda toxic, most: known.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("_id"), "_id").limit(most)
+    # At most toxic_rows + other_rows pairs of an id and a label: they go to the texts, not the texts to them.
+    known = F.broadcast(materialize(some(1, toxic_rows).unionByName(some(0, other_rows)), "toxicity-labels"))
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(known, F.col("doc_id") == F.col("_id")).select("text", "toxic")
     sample = materialize(sample, "toxicity-sample")
     sizes = {r["toxic"]: (r["n"], r["d"]) for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("d")).collect()}
