@@ -11,7 +11,9 @@ the context, come from deleted interpolation on a bounded sample of training tex
 Base scores need exact counts: the HEAD most frequent tokens are broadcast, all others are counted by an equi-join.
 """
 
+from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -59,9 +61,27 @@ class _Hashes(dict):
         return out
 
 
-def hashed(words: list[bytes], hashes: _Hashes) -> np.ndarray:
-    """END, the words, END."""
-    return np.fromiter(map(hashes.__getitem__, [END, *words, END]), np.uint64, len(words) + 2)
+def hashed(texts: list[list[bytes]], hashes: _Hashes) -> np.ndarray:
+    """END, the words of the first text, END, those of the next, END, and so on."""
+    flat = [END]
+    for words in texts:
+        flat += words
+        flat.append(END)
+    return np.fromiter(map(hashes.__getitem__, flat), np.uint64, len(flat))
+
+
+def runs(batch: pa.RecordBatch, column: str = "text", most: int = PART):
+    """Slices of a batch with about so many characters, a longer text alone, and the words of their texts."""
+    at, size, words = 0, 0, []
+    for i, text in enumerate(batch.column(column)):
+        text = text.as_py()
+        if words and size + len(text or "") > most:
+            yield batch.slice(at, i - at), words
+            at, size, words = i, 0, []
+        size += len(text or "")
+        words.append(words_of(text))
+    if words:
+        yield batch.slice(at), words
 
 
 @dataclass
@@ -72,11 +92,10 @@ class Filter:
     ranges: int
 
     @staticmethod
-    def places(keys: np.ndarray, level: int, size: int) -> list[np.ndarray]:
-        """Bits of (key, level) inside its range, one for each probe. keys: the 32 bits after those that give the range."""
+    def places(keys: np.ndarray, level: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of (key, level): the first bit inside its range, and the step to the next. keys: the 32 bits after those that give the range."""
         h = mixed(keys.astype(np.uint64) * np.uint64(64) + np.uint64(level))
-        first, step = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-        return [((first + np.uint64(i) * step) & np.uint64(size - 1)).astype(np.int64) for i in range(PROBES)]
+        return (h & np.uint64(size - 1)).astype(np.int64), (h >> np.uint64(32) | np.uint64(1)).astype(np.int64)
 
     def levels(self, keys: np.ndarray, most: int = 48) -> np.ndarray:
         """The level of each 64-bit key, 0 if it isn't there."""
@@ -87,21 +106,18 @@ class Filter:
         base, short = split(keys, self.ranges)
         base, at = base.astype(np.int64) * size, np.arange(len(keys))
         for level in range(1, most):
-            for place in self._probes(base, short, at, level, size):
-                at = place
+            place, step = self.places(short, level, size)
+            held = np.ones(len(at), bool)
+            for i in range(PROBES):
+                live = np.flatnonzero(held) if i else slice(None)
+                bit = base[live] + ((place[live] + i * step[live]) & (size - 1))
+                held[live] = self.bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1
+            at, base, short = at[held], base[held], short[held]
             if not at.size:
                 break
             out[at] = level
         return out
 
-    def _probes(self, base, short, at, level, size):
-        for i in range(PROBES):
-            bit = base[at] + self.places(short[at], level, size)[i]
-            at = at[(self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0]
-            yield at
-            if not at.size:
-                return
-
     @staticmethod
     def counts(levels: np.ndarray) -> np.ndarray:
         """The expected count at each level: the middle of the counts that it stands for."""
@@ -118,7 +134,7 @@ def token_counts(training: DataFrame, flush: int = 400_000) -> DataFrame:
     """token, n over all training texts, END included; each task adds up its own before the shuffle."""
 
     def run(batches):
-        counts: dict[bytes, int] = {}
+        counts: Counter[bytes] = Counter()
 
         def rows():
             out = pa.RecordBatch.from_arrays([pa.array([*counts.keys()], pa.binary()), pa.array([*counts.values()], pa.int64())], ["token", "n"])
@@ -127,10 +143,8 @@ def token_counts(training: DataFrame, flush: int = 400_000) -> DataFrame:
 
         for batch in batches:
             for text in batch.column("text"):
-                words = words_of(text.as_py())
-                for word in words:
-                    counts[word] = counts.get(word, 0) + 1
-                counts[END] = counts.get(END, 0) + 1
+                counts.update(words_of(text.as_py()))
+                counts[END] += 1
                 if len(counts) > flush:
                     yield rows()
         yield rows()
@@ -153,8 +167,8 @@ def ngram_counts(training: DataFrame, ranges: int, buffer: int = 3_000_000) -> D
             return pa.RecordBatch.from_arrays([pa.array(present.astype(np.int64)), pa.array([k for k, _ in rows], pa.binary()), pa.array([c for _, c in rows], pa.binary())], ["part", "keys", "counts"])
 
         for batch in batches:
-            for text in batch.column("text"):
-                words = hashed(words_of(text.as_py()), hashes)
+            for _, texts in runs(batch):
+                words = hashed(texts, hashes)
                 waiting += [unigrams(words[1:]), bigrams(words)]
                 size += 2 * len(words)
                 if size > buffer:
@@ -167,8 +181,7 @@ def ngram_counts(training: DataFrame, ranges: int, buffer: int = 3_000_000) -> D
         keys = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table.column("keys")])
         counts = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table.column("counts")])
         unique, where = np.unique(keys, return_inverse=True)
-        sums = np.zeros(len(unique), np.int64)
-        np.add.at(sums, where, counts)
+        sums = np.bincount(where, counts, len(unique))
         level = 1 + np.floor(np.log2(sums)).astype(np.int64)
         return pa.table({"part": pa.array([key[0].as_py()]), "keys": pa.array([unique.astype("<u4").tobytes()], pa.binary()), "level": pa.array([level.astype(np.uint8).tobytes()], pa.binary()), "tally": pa.array([np.bincount(level, minlength=64)[:64].tolist()], pa.list_(pa.int64()))})
 
@@ -198,8 +211,9 @@ def build_filter(training: DataFrame, tokens: int, most_bits: int = MOST_BITS) -
                 keys, level = np.frombuffer(keys.as_buffer(), "<u4"), np.frombuffer(level.as_buffer(), np.uint8)
                 bits = np.zeros(size, np.bool_)
                 for k in range(least, int(level.max(initial=0)) + 1):
-                    for place in Filter.places(keys[level >= k], k - least + 1, size):
-                        bits[place] = True
+                    place, step = Filter.places(keys[level >= k], k - least + 1, size)
+                    for i in range(PROBES):
+                        bits[(place + i * step) & (size - 1)] = True
                 out.append(np.packbits(bits, bitorder="little").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(out, pa.binary())], ["part", "bits"])
 
@@ -273,8 +287,8 @@ def lm_scores(docs: DataFrame, folds: int = 10, head: int = HEAD, sample: int =
     def voting(batches):
         hashes, lm, votes = _Hashes(), model(np.full(64, 0.5)), np.zeros((2, 64), np.int64)
         for batch in batches:
-            for text in batch.column("text"):
-                votes += lm.votes(hashed(words_of(text.as_py()), hashes))
+            for _, texts in runs(batch):
+                votes += lm.votes(hashed(texts, hashes))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), pa.array(votes[0]), pa.array(votes[1])], ["level", "pair", "one"])
 
     some = training.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < few * (1 << 20))
@@ -285,26 +299,21 @@ def lm_scores(docs: DataFrame, folds: int = 10, head: int = HEAD, sample: int =
     def scoring(batches):
         hashes, lm, counts = _Hashes(), model(weights), known.value
         for batch in batches:
-            rows = []
-            for text in batch.column("text"):
-                words, rest, total, met = words_of(text.as_py()), {}, 0.0, 0
-                for word in words:
-                    rest[word] = rest.get(word, 0) + 1
-                rest[END] = 1
-                found = [(counts[w], k) for w, k in rest.items() if w in counts]
-                if found:
-                    c, k = np.array(found).T
-                    total, met = float(k @ np.log10(c + 0.1)), int(k.sum())
-                tail = [{"token": w, "k": k} for w, k in rest.items() if w not in counts]
-                score = 0.0
-                for at in range(0, len(words) + 1, PART):
-                    part = hashed(words[max(0, at - 1) : at + PART], hashes)
-                    part = part if at == 0 else part[1:]
-                    score += float(lm.log10(part if at + PART > len(words) else part[:-1]).sum())
-                rows.append((len(words) + 1, met, total, score, tail))
-            columns = [*zip(*rows, strict=True)] or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("token", pa.binary()), ("k", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], ["doc_id", "held_out", "n_tokens", "met", "total", "score", "tail"])
+            for part, texts in runs(batch):
+                ends = np.cumsum([len(words) + 1 for words in texts])
+                score = np.add.reduceat(lm.log10(hashed(texts, hashes)), np.concatenate([[0], ends[:-1]]))
+                rows = []
+                for words in texts:
+                    met = Counter(words)
+                    met[END] = 1
+                    c = np.fromiter(map(counts.get, met, repeat(0)), float, len(met))
+                    k = np.fromiter(met.values(), np.int64, len(met))
+                    own = c > 0
+                    tail = [{"token": w, "k": n} for (w, n), seen in zip(met.items(), own.tolist(), strict=True) if not seen]
+                    rows.append((len(words) + 1, int(k[own].sum()), float(k[own] @ np.log10(c[own] + 0.1)), tail))
+                lengths, known_, total, tail = zip(*rows, strict=True)
+                columns = [pa.array(lengths, pa.int64()), pa.array(known_, pa.int64()), pa.array(total, pa.float64()), pa.array(score), pa.array(tail, pa.list_(pa.struct([("token", pa.binary()), ("k", pa.int64())])))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *columns], ["doc_id", "held_out", "n_tokens", "met", "total", "score", "tail"])
 
     rows = chosen.mapInArrow(scoring, "doc_id long, held_out boolean, n_tokens long, met long, total double, score double, tail array<struct<token:binary,k:long>>")
     rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "lm-rows")

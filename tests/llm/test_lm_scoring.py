@@ -58,7 +58,7 @@ def test_levels(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     hashes, c = _Hashes(), Counter()
     for _, t, *_ in rows:
-        words = hashed(words_of(t), hashes)
+        words = hashed([words_of(t)], hashes)
         c.update(unigrams(words[1:]).tolist())
         c.update(bigrams(words).tolist())
     table, least = build_filter(docs, 200_000)
