@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import kernels as K
 from gridloom.functions import text as T
 from gridloom.matrix import bounds, resize, to_long, to_wide, top_left, transpose
+from gridloom.operators import distribution as D
 from gridloom.operators import pairs as P
 from gridloom.operators import patterns as A
 from gridloom.operators import ranks as R
@@ -339,6 +340,18 @@ def partition_fixed(spark, sf_dir):
     return L.fixed_parts(spark, 100, 16)
 
 
+@query("WITH p AS (SELECT l_suppkey % 7 AS part, count(*) AS n FROM lineitem GROUP BY 1) SELECT part, n, (sum(n) OVER (ORDER BY part) - n)::BIGINT AS off FROM p")
+def partition_offsets(spark, sf_dir):
+    sizes = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 7).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    return D.offsets(sizes)
+
+
+@query(f"WITH {E_SQL}, r AS (SELECT DISTINCT row_id FROM e) SELECT row_id, CASE WHEN row_id < (m.n % 7) * (m.n // 7 + 1) THEN row_id // (m.n // 7 + 1) ELSE m.n % 7 + (row_id - (m.n % 7) * (m.n // 7 + 1)) // (m.n // 7) END AS part FROM r, (SELECT count(*) AS n FROM embeddings) m")
+def row_partition(spark, sf_dir):
+    rows = embeddings(spark, sf_dir)
+    return D.part_of_rows(rows, rows.count(), 7).select("row_id", "part")
+
+
 @query(f"WITH {GRID} SELECT * FROM g")
 def tile_grid(spark, sf_dir):
     return _grid(spark)
