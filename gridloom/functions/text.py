@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: The start of a text that is a number: blanks, sign, digits, fraction, exponent.
 NUMBER = r"^[ \t]*([+-]?[0-9]*\.?[0-9]*)(?:[eE]([+-]?[0-9]+))?"
-LARGEST_EXPONENT = 308
+LARGEST_EXPONENT, LARGEST = 308, 1.7976931348623157e308
 
 
 def tokens_or_empty(text: Column, delimiter: str = ",") -> Column:
@@ -32,12 +32,18 @@ def trimmed(text: Column) -> Column:
 
 
 def numeric_prefix(text: Column) -> Column:
-    """The number that text begins with, else 0: never null, never an error. Exponents beyond 308 count as 308."""
+    """The number that text begins with, else 0: never null, never an error. Exponents beyond 308 count as 308.
+
+    A text that is a finite decimal number as a whole is cast; only others go through the pattern.
+    """
     mantissa, exponent = F.regexp_extract(text, NUMBER, 1), F.regexp_extract(text, NUMBER, 2)
     power = F.coalesce(exponent.try_cast("int"), F.when(exponent.startswith("-"), -LARGEST_EXPONENT).otherwise(LARGEST_EXPONENT))
     power = F.greatest(F.lit(-LARGEST_EXPONENT), F.least(F.lit(LARGEST_EXPONENT), power))
     written = F.when(exponent == "", mantissa).otherwise(F.concat(mantissa, F.lit("e"), power.cast("string")))
-    return F.coalesce(F.when(mantissa.rlike("[0-9]"), written).try_cast("double"), F.lit(0.0))
+    prefix = F.coalesce(F.when(mantissa.rlike("[0-9]"), written).try_cast("double"), F.lit(0.0))
+    whole = text.try_cast("double")
+    decimal = (F.abs(whole) <= LARGEST) & ~F.contains(text, F.lit("x")) & ~F.contains(text, F.lit("X"))
+    return F.when(decimal, whole).otherwise(prefix)
 
 
 def strict_number(text: Column) -> Column:

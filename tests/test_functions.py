@@ -52,7 +52,7 @@ def test_compose_and_dense(spark):
     assert one(spark, [[1]], K.dense(cells, 6)) == [[5.0, 0.0, 0.0, 7.0, 0.0, 0.0]]
 
 
-NUMBERS = {"1.5abc": 1.5, " 1.5 ": 1.5, "nan": 0.0, "inf": 0.0, "NA": 0.0, "1e400": 1e308, "1e-400": 1e-308, ".": 0.0, "1e": 1.0, "-": 0.0, "": 0.0, "-.5": -0.5, "5.": 5.0, "+3": 3.0, "0." + "1" * 25: float("0." + "1" * 25), "1e99999999999": 1e308, "2E2x": 200.0, "1d": 1.0, "\t7": 7.0}
+NUMBERS = {"1.5abc": 1.5, " 1.5 ": 1.5, "nan": 0.0, "inf": 0.0, "NA": 0.0, "1e400": 1e308, "1e-400": 1e-308, ".": 0.0, "1e": 1.0, "-": 0.0, "": 0.0, "-.5": -0.5, "5.": 5.0, "+3": 3.0, "0." + "1" * 25: float("0." + "1" * 25), "1e99999999999": 1e308, "2E2x": 200.0, "1d": 1.0, "\t7": 7.0, "0x1p3": 0.0, "Infinity": 0.0, "-inf": 0.0}
 
 
 def test_numbers(spark):
