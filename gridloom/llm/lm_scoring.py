@@ -25,6 +25,8 @@ from gridloom.llm.common import materialize
 
 MOST_BITS, LEAST_BITS, WISHED_BITS, PROBES = 1 << 29, 8, 12, 4
 HEAD, SAMPLE, PART = 100_000, 2_000, 1 << 20
+#: Longer tokens aren't broadcast, which bounds the head's bytes too.
+HEAD_BYTES = 64
 #: The token that ends a text, and stands before its first word: no word holds a space.
 END = b" "
 
@@ -277,7 +279,7 @@ def lm_scores(docs: DataFrame, folds: int = 10, head: int = HEAD, sample: int =
     table, least = build_filter(training, n, most_bits)
     few = min(1.0, sample / max(1, ends))
     sent = spark.sparkContext.broadcast((table.bits, table.ranges))
-    top = vocabulary.orderBy(F.desc("n"), "token").limit(head).collect()
+    top = vocabulary.filter(F.length("token") <= HEAD_BYTES).orderBy(F.desc("n"), "token").limit(head).collect()
     known = spark.sparkContext.broadcast({bytes(r["token"]): r["n"] for r in top})
     del top, table
 

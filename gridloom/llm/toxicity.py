@@ -203,7 +203,7 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (),
         yield pa.RecordBatch.from_arrays([pa.array([w for (w, _), _ in rows], pa.string()), pa.array([t for (_, t), _ in rows], pa.int64()), pa.array([n for _, n in rows], pa.int64())], ["word", "toxic", "n"])
 
     met = sample.mapInArrow(whole_words, "word string, toxic long, n long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("other"))
-    lexicon.exceptions += [r["word"] for r in met.filter((F.col("other") >= 2) & (F.col("other") * n_toxic >= F.col("toxic") * n_other)).orderBy(F.desc("other"), "word").limit(ENTRIES).collect()]
+    lexicon.exceptions += [r["word"] for r in met.filter((F.length("word") <= 64) & (F.col("other") >= 2) & (F.col("other") * n_toxic >= F.col("toxic") * n_other)).orderBy(F.desc("other"), "word").limit(ENTRIES).collect()]
 
     def measured(batches):
         for batch in batches:
