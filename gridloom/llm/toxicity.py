@@ -177,8 +177,8 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (),
     known = F.broadcast(materialize(some(1, toxic_rows).unionByName(some(0, other_rows)), "toxicity-labels"))
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(known, F.col("doc_id") == F.col("_id")).select("text", "toxic")
     sample = materialize(sample, "toxicity-sample")
-    sizes = {r["toxic"]: (r["n"], r["d"]) for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("d")).collect()}
-    n_toxic, n_other = sizes.get(1, (0, 0))[0], sizes.get(0, (0, 0))[0]
+    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    n_toxic, n_other = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic:
         return Lexicon({}, [*exceptions])
     counted = _counted(sample).filter((F.col("toxic") >= SUPPORT) & (F.col("toxic") * n_other > RATIO * F.col("other") * n_toxic))
