@@ -13,7 +13,6 @@ Base scores need exact counts: the HEAD most frequent tokens are broadcast, all
 
 from collections import Counter
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -51,25 +50,39 @@ def bigrams(words: np.ndarray) -> np.ndarray:
     return mixed(mixed(words[:-1]) * np.uint64(0x9E3779B97F4A7C15) + words[1:])
 
 
-class _Hashes(dict):
-    def __init__(self, most: int = 300_000):
+class Words(dict):
+    """word -> its place in the arrays hash, known (count in `head`, -1 if not there) and level (of the unigram, once looked up).
+
+    Emptied between runs of texts when it has grown to `most` words.
+    """
+
+    def __init__(self, head: dict[bytes, int] | None = None, most: int = 300_000):
         super().__init__()
-        self.most = most
+        self.head, self.most, self.looked_up = head or {}, most, 0
+        self.hash, self.known, self.level = np.zeros(1024, np.uint64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
 
     def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self)
+        if at == len(self.hash):
+            self.hash, self.known, self.level = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.known, self.level))
+        self.hash[at] = xxhash.xxh64_intdigest(word, 1)
+        self.known[at] = self.head.get(word, -1)
+        return at
+
+    def places(self, texts: list[list[bytes]]) -> tuple[np.ndarray, list[bytes]]:
+        """END, the words of the first text, END, those of the next, END, and so on: as places and as they are."""
         if len(self) >= self.most:
             self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word, 1)
-        return out
+            self.looked_up = 0
+        flat = [END]
+        for words in texts:
+            flat += words
+            flat.append(END)
+        return np.fromiter(map(self.__getitem__, flat), np.int64, len(flat)), flat
 
-
-def hashed(texts: list[list[bytes]], hashes: _Hashes) -> np.ndarray:
-    """END, the words of the first text, END, those of the next, END, and so on."""
-    flat = [END]
-    for words in texts:
-        flat += words
-        flat.append(END)
-    return np.fromiter(map(hashes.__getitem__, flat), np.uint64, len(flat))
+    def hashed(self, texts: list[list[bytes]]) -> np.ndarray:
+        places = self.places(texts)[0]
+        return self.hash[places]
 
 
 def runs(batch: pa.RecordBatch, column: str = "text", most: int = PART):
@@ -158,7 +171,7 @@ def ngram_counts(training: DataFrame, ranges: int, buffer: int = 3_000_000) -> D
     """part, keys, counts (packed), levels (n-grams at each level): the unigrams and bigrams of each range of hashes, merged."""
 
     def run(batches):
-        hashes, waiting, size = _Hashes(), [], 0
+        known, waiting, size = Words(), [], 0
 
         def blobs():
             keys, counts = np.unique(np.concatenate(waiting), return_counts=True)
@@ -170,7 +183,7 @@ def ngram_counts(training: DataFrame, ranges: int, buffer: int = 3_000_000) -> D
 
         for batch in batches:
             for _, texts in runs(batch):
-                words = hashed(texts, hashes)
+                words = known.hashed(texts)
                 waiting += [unigrams(words[1:]), bigrams(words)]
                 size += 2 * len(words)
                 if size > buffer:
@@ -236,25 +249,27 @@ class Model:
     types: int
     weights: np.ndarray
 
-    def counts(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Levels (as in the filter) and expected counts."""
-        levels = self.table.levels(keys)
-        return levels, Filter.counts(np.where(levels > 0, levels + self.least - 1, 0))
-
-    def parts(self, words: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For hashed words with END on both sides: of each token its count, that of the word before (and its level), and that of both."""
-        distinct, where = np.unique(words, return_inverse=True)
-        level, count = self.counts(unigrams(distinct))
-        return count[where[1:]], count[where[:-1]], level[where[:-1]], self.counts(bigrams(words))[1]
-
-    def log10(self, words: np.ndarray) -> np.ndarray:
-        one, before, level, both = self.parts(words)
+    def counts(self, levels: np.ndarray) -> np.ndarray:
+        """Expected counts at the filter's levels."""
+        return Filter.counts(np.where(levels > 0, levels + self.least - 1, 0))
+
+    def parts(self, places: np.ndarray, words: Words) -> tuple[np.ndarray, ...]:
+        """For words with END on both sides: of each token its count, that of the word before (and its level), and that of both."""
+        new = slice(words.looked_up, len(words))
+        words.level[new] = self.table.levels(unigrams(words.hash[new]))
+        words.looked_up = len(words)
+        level = words.level[places]
+        count = self.counts(level)
+        return count[1:], count[:-1], level[:-1], self.counts(self.table.levels(bigrams(words.hash[places])))
+
+    def log10(self, places: np.ndarray, words: Words) -> np.ndarray:
+        one, before, level, both = self.parts(places, words)
         weight = self.weights[level]
         return np.log10(weight * np.minimum(1.0, both / np.maximum(before, 1.0)) + (1 - weight) * (one + 0.1) / (self.tokens + 0.1 * (self.types + 1)))
 
-    def votes(self, words: np.ndarray) -> np.ndarray:
+    def votes(self, places: np.ndarray, words: Words) -> np.ndarray:
         """Deleted interpolation: by level of the context, tokens that the bigrams, and the unigrams, foretell better without themselves."""
-        one, before, level, both = self.parts(words)
+        one, before, level, both = self.parts(places, words)
         pair = np.where(before > 1, np.minimum(1.0, np.maximum(both - 1, 0) / np.maximum(before - 1, 1)), 0.0)
         better = pair > np.maximum(one - 1, 0.1) / max(1, self.tokens)
         return np.stack([np.bincount(level[better], minlength=64), np.bincount(level[~better], minlength=64)])
@@ -287,10 +302,10 @@ def lm_scores(docs: DataFrame, folds: int = 10, head: int = HEAD, sample: int =
         return Model(Filter(*sent.value), least, n, v, weights)
 
     def voting(batches):
-        hashes, lm, votes = _Hashes(), model(np.full(64, 0.5)), np.zeros((2, 64), np.int64)
+        words, lm, votes = Words(), model(np.full(64, 0.5)), np.zeros((2, 64), np.int64)
         for batch in batches:
             for _, texts in runs(batch):
-                votes += lm.votes(hashed(texts, hashes))
+                votes += lm.votes(words.places(texts)[0], words)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), pa.array(votes[0]), pa.array(votes[1])], ["level", "pair", "one"])
 
     some = training.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < few * (1 << 20))
@@ -299,28 +314,25 @@ def lm_scores(docs: DataFrame, folds: int = 10, head: int = HEAD, sample: int =
         weights[r[0]] = r[1] / (r[1] + r[2] + 10)  # ten more for the unigrams keep the weight below one
 
     def scoring(batches):
-        hashes, lm, counts = _Hashes(), model(weights), known.value
+        words, lm = Words(known.value), model(weights)
         for batch in batches:
             for part, texts in runs(batch):
-                ends = np.cumsum([len(words) + 1 for words in texts])
-                score = np.add.reduceat(lm.log10(hashed(texts, hashes)), np.concatenate([[0], ends[:-1]]))
-                rows = []
-                for words in texts:
-                    met = Counter(words)
-                    met[END] = 1
-                    c = np.fromiter(map(counts.get, met, repeat(0)), float, len(met))
-                    k = np.fromiter(met.values(), np.int64, len(met))
-                    own = c > 0
-                    tail = [{"token": w, "k": n} for (w, n), seen in zip(met.items(), own.tolist(), strict=True) if not seen]
-                    rows.append((len(words) + 1, int(k[own].sum()), float(k[own] @ np.log10(c[own] + 0.1)), tail))
-                lengths, known_, total, tail = zip(*rows, strict=True)
-                columns = [pa.array(lengths, pa.int64()), pa.array(known_, pa.int64()), pa.array(total, pa.float64()), pa.array(score), pa.array(tail, pa.list_(pa.struct([("token", pa.binary()), ("k", pa.int64())])))]
+                places, flat = words.places(texts)
+                lengths = np.array([len(t) + 1 for t in texts])
+                starts = np.cumsum(lengths) - lengths
+                score = np.add.reduceat(lm.log10(places, words), starts)
+                count = words.known[places[1:]]
+                met = np.add.reduceat((count >= 0).astype(np.int64), starts)
+                total = np.add.reduceat(np.where(count >= 0, np.log10(np.maximum(count, 0) + 0.1), 0.0), starts)
+                rest = np.flatnonzero(count < 0)
+                tail = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(rest, starts), len(rest)).astype(np.int32)), pa.array([flat[i + 1] for i in rest.tolist()], pa.binary()))
+                columns = [pa.array(lengths), pa.array(met), pa.array(total), pa.array(score), tail]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *columns], ["doc_id", "held_out", "n_tokens", "met", "total", "score", "tail"])
 
-    rows = chosen.mapInArrow(scoring, "doc_id long, held_out boolean, n_tokens long, met long, total double, score double, tail array<struct<token:binary,k:long>>")
+    rows = chosen.mapInArrow(scoring, "doc_id long, held_out boolean, n_tokens long, met long, total double, score double, tail array<binary>")
     rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "lm-rows")
-    tail = rows.select("rid", F.explode("tail").alias("t")).select("rid", "t.token", "t.k").join(vocabulary, "token", "left")
-    tail = tail.groupBy("rid").agg(F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("also"))
+    tail = rows.select("rid", F.explode("tail").alias("token")).join(vocabulary, "token", "left")
+    tail = tail.groupBy("rid").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("more"), F.count("n").alias("also"))
     out = rows.drop("tail").join(tail, "rid", "left")
     base = F.col("total") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(n + 0.1 * (v + 1)))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("met") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

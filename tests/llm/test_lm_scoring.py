@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from gridloom.llm.lm_scoring import Filter, _Hashes, bigrams, build_filter, hashed, lm_scores, split, unigrams, words_of
+from gridloom.llm.lm_scoring import Filter, Words, bigrams, build_filter, lm_scores, split, unigrams, words_of
 
 SCHEMA = "doc_id long, text string, n long, token string"
 
@@ -56,9 +56,9 @@ def test_base_is_exact(spark, head):
 def test_levels(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, SCHEMA)
-    hashes, c = _Hashes(), Counter()
+    known, c = Words(), Counter()
     for _, t, *_ in rows:
-        words = hashed([words_of(t)], hashes)
+        words = known.hashed([words_of(t)])
         c.update(unigrams(words[1:]).tolist())
         c.update(bigrams(words).tolist())
     table, least = build_filter(docs, 200_000)
