@@ -80,3 +80,40 @@ def test_no_training_and_empty(spark):
     r = lm_scores(spark.createDataFrame([(lone, "a b", 1, "x")], SCHEMA)).first()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (True, 3, 0, 0) and abs(r.base_score) < 1e-12
     assert lm_scores(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_scores_rest_on_every_ngram(spark):
+    """Whatever the chunks and ranges, a score is that of the exact levels of all n-grams, but for the filter's false positives."""
+    rows = corpus()
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    texts = {i: [*words_of(t), b" "] for i, t, *_ in rows}
+    ones, pairs = Counter(), Counter()
+    for i, t, *_ in rows:
+        if not held(i):
+            words = [*words_of(t), b" "]
+            ones.update(words)
+            pairs.update(zip([b" ", *words], words))
+    small, large = ({(str(r.doc_id), r.n_tokens): r.score for r in lm_scores(docs, sample=10**9, chunk=c, span=s).collect()} for c, s in ((500, 100), (10**6, 1 << 20)))
+    assert small.keys() == large.keys()
+    level = lambda c: np.floor(np.log2(np.maximum(c, 1))).astype(int) + (np.asarray(c) > 0)
+    expected = lambda c: Filter.counts(level(np.array(c)))
+    n, v = sum(ones.values()), len(ones)
+
+    def parts(words):
+        before = [b" ", *words][:-1]
+        return expected([ones[w] for w in words]), expected([ones[w] for w in before]), level(np.array([ones[w] for w in before])), expected([pairs[x] for x in zip(before, words)])
+
+    votes = np.zeros((2, 64))
+    for i, t, *_ in rows:
+        if not held(i):
+            one, before, at, both = parts([*words_of(t), b" "])
+            pair = np.where(before > 1, np.minimum(1.0, np.maximum(both - 1, 0) / np.maximum(before - 1, 1)), 0.0)
+            better = pair > np.maximum(one - 1, 0.1) / n
+            votes += [np.bincount(at[better], minlength=64), np.bincount(at[~better], minlength=64)]
+    weights = votes[0] / (votes.sum(0) + 10)
+    off = []
+    for i, words in texts.items():
+        one, before, at, both = parts(words)
+        want = np.log10(weights[at] * np.minimum(1.0, both / np.maximum(before, 1)) + (1 - weights[at]) * (one + 0.1) / (n + 0.1 * (v + 1))).sum()
+        off += [abs(got[str(i), len(words)] - want) / len(words) for got in (small, large)]
+    assert np.mean(off) < 0.02
