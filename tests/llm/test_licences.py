@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from gridloom.llm.licences import TEMPLATES, Scanner, licence_scan, normalised
+from gridloom.llm.licences import MORE, TEMPLATES, Scanner, licence_scan, normalised
 
 SCHEMA = "doc_id long, text string, best double, spans string"
 
@@ -52,3 +52,17 @@ def test_table(spark):
     assert rows[-2][1][a:b] == "Licensed under CC BY-NC 4.0"
     assert {k for k in got if k[1] == 0} == {(2, 0), (3, 0), (4, 0), (7, 0)}
     assert licence_scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_siblings_and_whole_texts(spark):
+    """Each covered notice is reported under its own name, and not under that of a sibling."""
+    names = ["gpl-2.0", "lgpl-2.1", "agpl-3.0", "cc-by-nc-4.0", "cc-by-sa-4.0", "cc-by-nc-sa-4.0", "cc-by-sa-4.0", "cc0-1.0", "mit-whole", "bsd-3-clause", "gpl-2.0-header"]
+    texts = [
+        "This work is licensed under the GNU General Public License, version 2.", "This work is licensed under the GNU Lesser General Public License, version 2.1.", "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0.", MORE["cc0-1.0"], MORE["mit-whole"], MORE["bsd-3-clause"], MORE["gpl-2.0-header"]]
+    rows = [(i, "Some words before. " + t + " And after it.", 0.0, "") for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in licence_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i].n_matches == 1 and got[i].best == 1.0 and got[i].licences.removesuffix("-long").removesuffix("-short") == name for i, name in enumerate(names)), got
+    scanner = Scanner(TEMPLATES | MORE)
+    assert all([n for *_, n, _ in scanner.scan(t)] == [name] for name, t in (TEMPLATES | MORE).items())
