@@ -6,7 +6,7 @@ until a probe fails. The filter grows with the n-grams and is cut into ranges of
 than one range: each chunk of texts packs its distinct n-grams with their counts by range, each range merges what all chunks
 sent, fills its part of the filter, and answers each chunk with the levels of what it asked for; an equi-join by chunk
 brings the answers back to the texts. Bigram and unigram estimates are interpolated; the weights, one for each level of the
-context, come from deleted interpolation on a bounded sample of training texts (SAMPLE).
+context, come from deleted interpolation over all training texts.
 
 Base scores need exact counts: the HEAD most frequent tokens are broadcast, all others are counted by an equi-join.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import materialize
 
 MOST_BITS, LEAST_BITS, WISHED_BITS, PROBES = 1 << 29, 8, 12, 4
-HEAD, SAMPLE, PART = 100_000, 2_000, 1 << 20
+HEAD, PART = 100_000, 1 << 20
 #: Tokens of a chunk of texts (a longer text is a chunk of its own), and of training for each range of the filter.
 CHUNK, SPAN = 1_400_000, 1 << 20
 #: Longer tokens aren't broadcast, which bounds the head's bytes too.
@@ -412,7 +412,7 @@ def _held_out(folds: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def lm_scores(docs: DataFrame, folds: int = 10, head: int = HEAD, sample: int = SAMPLE, chunk: int = CHUNK, span: int = SPAN) -> DataFrame:
+def lm_scores(docs: DataFrame, folds: int = 10, head: int = HEAD, chunk: int = CHUNK, span: int = SPAN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     Learned from rows whose crc32(doc_id) modulo folds is not 0; rows without doc_id are learned from. Null counts
@@ -422,7 +422,7 @@ def lm_scores(docs: DataFrame, folds: int = 10, head: int = HEAD, sample: int =
     spark = docs.sparkSession
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _held_out(folds).alias("held_out"))
     vocabulary = materialize(token_counts(chosen.filter("not held_out")), "lm-tokens")
-    n, v, ends = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max(F.when(F.col("token") == F.lit(END), F.col("n"))), F.lit(0))).first()
+    n, v = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     top = vocabulary.filter(F.length("token") <= HEAD_BYTES).orderBy(F.desc("n"), "token").limit(head).collect()
     known = spark.sparkContext.broadcast({bytes(r["token"]): r["n"] for r in top})
     del top
@@ -430,7 +430,6 @@ def lm_scores(docs: DataFrame, folds: int = 10, head: int = HEAD, sample: int =
     found = materialize(pieces(chosen, known, chunk), "lm-pieces")
     levels = levelled(asking(found.filter("at = -1"), ranges))
     rows = materialize(grams(found.select("chunk", "at", "doc_id", "held_out", "n_tokens", "met", "total", "places", "words"), levels), "lm-rows")
-    few = min(1.0, sample / max(1, ends))
 
     def voting(batches):
         times = np.zeros(1 << 18, np.int64)
@@ -439,9 +438,8 @@ def lm_scores(docs: DataFrame, folds: int = 10, head: int = HEAD, sample: int =
         votes = Model(n, v, np.zeros(64)).votes(times)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), pa.array(votes[0]), pa.array(votes[1])], ["level", "pair", "one"])
 
-    some = rows.filter("not held_out").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < few * (1 << 20))
     weights = np.zeros(64)
-    for r in some.select("codes", "times").mapInArrow(voting, "level long, pair long, one long").groupBy("level").agg(F.sum("pair"), F.sum("one")).collect():
+    for r in rows.filter("not held_out").select("codes", "times").mapInArrow(voting, "level long, pair long, one long").groupBy("level").agg(F.sum("pair"), F.sum("one")).collect():
         weights[r[0]] = r[1] / (r[1] + r[2] + 10)  # ten more for the unigrams keep the weight below one
 
     def scoring(batches):

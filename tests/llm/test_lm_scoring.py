@@ -93,7 +93,7 @@ def test_scores_rest_on_every_ngram(spark):
             words = [*words_of(t), b" "]
             ones.update(words)
             pairs.update(zip([b" ", *words], words))
-    small, large = ({(str(r.doc_id), r.n_tokens): r.score for r in lm_scores(docs, sample=10**9, chunk=c, span=s).collect()} for c, s in ((500, 100), (10**6, 1 << 20)))
+    small, large = ({(str(r.doc_id), r.n_tokens): r.score for r in lm_scores(docs, chunk=c, span=s).collect()} for c, s in ((500, 100), (10**6, 1 << 20)))
     assert small.keys() == large.keys()
     level = lambda c: np.floor(np.log2(np.maximum(c, 1))).astype(int) + (np.asarray(c) > 0)
     expected = lambda c: Filter.counts(level(np.array(c)))
@@ -117,3 +117,12 @@ def test_scores_rest_on_every_ngram(spark):
         want = np.log10(weights[at] * np.minimum(1.0, both / np.maximum(before, 1)) + (1 - weights[at]) * (one + 0.1) / (n + 0.1 * (v + 1))).sum()
         off += [abs(got[str(i), len(words)] - want) / len(words) for got in (small, large)]
     assert np.mean(off) < 0.02
+
+
+def test_weights_rest_on_all_texts(spark):
+    """A context level that one training text alone shows, whatever its hash, gets its weight."""
+    ids = [r[0] for r in spark.range(6000, 6200).filter("pmod(xxhash64(id), 1048576) > 1000000").collect()]
+    lone = next(i for i in ids if not held(i))
+    rows = [(i, f"only{i}", 1, "x") for i in range(6000)] + [(lone, "left right " * 100, 1, "x")]
+    got = {r.doc_id: r for r in lm_scores(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[lone].score / got[lone].n_tokens > -0.5
