@@ -21,12 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialize
+from gridloom.llm.common import materialize, release
 
 MOST_BITS, LEAST_BITS, WISHED_BITS, PROBES = 1 << 29, 8, 12, 4
 HEAD, PART = 100_000, 1 << 20
 #: Tokens of a chunk of texts (a longer text is a chunk of its own), and of training for each range of the filter.
-CHUNK, SPAN = 1_400_000, 1 << 20
+CHUNK, SPAN = 700_000, 1 << 20
 #: Longer tokens aren't broadcast, which bounds the head's bytes too.
 HEAD_BYTES = 64
 #: The token that ends a text, and stands before its first word: no word holds a space.
@@ -451,8 +451,10 @@ def lm_scores(docs: DataFrame, folds: int = 10, head: int = HEAD, chunk: int = C
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(sums[edges[1:]] - sums[edges[:-1]])], [*batch.schema.names[:-2], "score"])
 
     rid = (F.shiftleft("chunk", 22) + F.col("at")).alias("rid")  # a run has at most PART + 1 texts, a chunk fewer than CHUNK + PART + 1
+    tails = materialize(found.filter(F.size("tail") > 0).select(rid, "tail"), "lm-tails")
+    release(found)
     scored = rows.mapInArrow(scoring, GRAMS.replace("codes array<int>, times array<int>", "score double")).select("*", rid)
-    tail = found.select(rid, F.explode("tail").alias("token")).join(vocabulary, "token", "left")
+    tail = tails.select("rid", F.explode("tail").alias("token")).join(vocabulary, "token", "left")
     tail = tail.groupBy("rid").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("more"), F.count("n").alias("also"))
     out = scored.join(tail, "rid", "left")
     base = F.col("total") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(n + 0.1 * (v + 1)))
