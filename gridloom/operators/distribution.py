@@ -6,6 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that the driver takes at most.
+MOST_ROWS = 100_000
+
 
 def by_row_ranges(wide: DataFrame, parts: int) -> DataFrame:
     """Rows dealt out in ranges of row_id, in order inside each part."""
@@ -30,11 +33,13 @@ def counted(frame: DataFrame, observation) -> DataFrame:
     return frame.observe(observation, F.count(F.lit(1)).alias("processed"))
 
 
-def to_numpy(wide: DataFrame, rows: int | None = None) -> np.ndarray:
-    """The matrix on the driver, a partition at a time: for results that are known to be small. rows: the rows there are, if known."""
-    found = [(r["row_id"], r["values"]) for r in wide.select("row_id", "values").toLocalIterator()]
-    n = rows if rows is not None else max((i for i, _ in found), default=-1) + 1
-    out = np.zeros((n, len(found[0][1]) if found else 0))
-    for i, values in found:
-        out[i] = values
+def to_numpy(wide: DataFrame, rows: int | None = None, most: int = MOST_ROWS) -> np.ndarray:
+    """The matrix on the driver, by one action, so that an Observation of wide completes. More than `most` rows are an error. rows: the rows there are, if known."""
+    found = wide.select("row_id", "values").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"the matrix has more than {most} rows: too many for the driver")
+    n = rows if rows is not None else max((r["row_id"] for r in found), default=-1) + 1
+    out = np.zeros((n, len(found[0]["values"]) if found else 0))
+    for r in found:
+        out[r["row_id"]] = r["values"]
     return out

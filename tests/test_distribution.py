@@ -1,6 +1,7 @@
 """Row ranges, offsets, counters and the way to the driver."""
 
 import numpy as np
+import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
@@ -28,3 +29,5 @@ def test_counter_and_numpy(spark):
     assert seen.get["processed"] == 7
     assert x.shape == (7, 2) and np.array_equal(x, [r["values"] for r in m.orderBy("row_id").collect()])
     assert D.to_numpy(m.limit(0)).size == 0
+    with pytest.raises(ValueError, match="more than 6 rows"):
+        D.to_numpy(m, most=6)
