@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,10 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session in one process may go without; it gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = _own_root.setdefault("dir", tempfile.mkdtemp(prefix="gridloom-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if "dir" not in _own_root:
+            _own_root["dir"] = tempfile.mkdtemp(prefix="gridloom-")
+            atexit.register(shutil.rmtree, _own_root["dir"], ignore_errors=True)
+        root = _own_root["dir"]
     return root.rstrip("/")
 
 
@@ -62,6 +68,32 @@ def _clean_up() -> None:
             return
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Column names made from names that docs doesn't have, in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named(column: str) -> Column:
+    """The column of exactly that name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def rewritten(rows: DataFrame, docs: DataFrame, where: Column, text: Column) -> DataFrame:
+    """The columns of docs from rows, with another text and, if there is n_chars, its length where the condition holds."""
+    out = rows.withColumn("text", F.when(where, text).otherwise(F.col("text")))
+    for column in [c for c in docs.columns if c.lower() == "n_chars"]:
+        kind = docs.schema[column].dataType
+        out = out.withColumn(column, F.when(where, F.length("text").cast(kind)).otherwise(named(column)))
+    return out.select(*map(named, docs.columns))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row: a lambda variable is not inlined, unlike a projected column."""
     return F.transform(F.array(value), body)[0]

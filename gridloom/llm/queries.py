@@ -103,12 +103,11 @@ ORACLE_SQL: dict[str, str] = {
         win AS (SELECT rid, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS g FROM b WHERE len(w) >= 8),
         dup AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
         cov AS (SELECT rid, sum(least(8, coalesce(after - i, 8))) AS n FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS after FROM dup) GROUP BY rid),
-        l AS (SELECT rid, host, t, unnest(range(len(string_split(t, chr(10))))) AS pos, unnest(string_split(t, chr(10))) AS line FROM b),
+        l AS (SELECT rid, host, unnest(string_split(t, chr(10))) AS line FROM b),
         k AS (SELECT *, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS key FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-        a AS (SELECT *, {'p': lag(key) OVER o, 'n': lead(key) OVER o} AS around FROM k WINDOW o AS (PARTITION BY rid ORDER BY pos)),
-        once AS (SELECT host, key, t, arg_min(around, pos) AS around FROM a GROUP BY host, key, t),
-        freq AS (SELECT host, key FROM (SELECT host, key, count(*) AS n, count(DISTINCT around) AS c FROM once GROUP BY host, key)
-            JOIN (SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY host) USING (host) WHERE n > 10 AND c >= 0.5 * n AND n > 0.005 * docs),
+        n AS (SELECT rid, host, trim(regexp_replace(regexp_replace(lower(t), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS document FROM d),
+        freq AS (SELECT host, key FROM (SELECT host, key, count(DISTINCT document) AS held FROM k JOIN n USING (rid, host) GROUP BY host, key)
+            JOIN (SELECT host, count(DISTINCT document) AS docs FROM n GROUP BY host) USING (host) WHERE held > 10 AND held > 0.005 * docs),
         gone AS (SELECT rid, sum(len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')))::BIGINT AS n FROM k JOIN freq USING (host, key) GROUP BY rid),
         dups AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM k GROUP BY rid),
         s AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
