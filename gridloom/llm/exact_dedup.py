@@ -6,8 +6,8 @@ pairs sorted into names of the next level, until each document has one name. Two
 same (level, name) exactly if their normalised texts are equal: no step trusts a hash.
 
 Blocks travel once, grouped by their 64-bit hash with the least and greatest block of each hash. Where
-those differ the hash isn't a key, and the blocks themselves become the keys of that run (the same
-names, by a dearer join). The hot blocks of large groups of copies are aggregated before the shuffle,
+those differ the hash isn't a key, and the blocks of that hash are named by their bytes (one more scan, in
+which no other block carries its bytes). The hot blocks of large groups of copies are aggregated before the shuffle,
 and are joined back by equi-joins that adaptive execution can split.
 """
 
@@ -18,11 +18,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import SPACES, materialize, release, text_of
+from gridloom.llm.common import SPACES, fresh, materialize, named, release, text_of
 
 BLOCK_BYTES = 1024
 #: Names are sorted within so many buckets; a name is rank * BUCKETS + bucket, whatever the cluster's size.
-BUCKETS = 4096
+BUCKETS = 1 << 16
 
 
 def normalized(column: str = "text") -> Column:
@@ -51,7 +51,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_bits: int =
 
     base = docs.select("doc_id", normalized().alias("norm"))
     blocks = _blocks(F.col("norm"), block_bytes)
-    rows = base.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.transform(blocks, key).alias("hashes"))
+    rows = base.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.transform(blocks, key).alias("hashes")).withColumn("n", F.size("hashes"))
     rows = materialize(rows, "dedup-rows")
     met = base.select(F.explode(blocks).alias("block")).withColumn("hash", key(F.col("block")))
     met = met.groupBy("hash").agg(F.min("block").alias("low"), F.max("block").alias("high"))
@@ -59,13 +59,17 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_bits: int =
     if names.filter("shared").isEmpty():
         parts = rows.select("rid", F.size("hashes").alias("n"), F.posexplode("hashes").alias("pos", "hash"))
         parts = parts.join(names, "hash").select("rid", "n", "pos", "name")
-    else:
+    else:  # blocks whose hash is shared are told apart by their bytes, which only they carry on; the few shared hashes go to the blocks
         release(rows)
-        whole = materialize(base.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), blocks.alias("blocks")), "dedup-whole")
-        rows = whole.select("rid", "doc_id", "text_sha256", F.col("blocks").alias("hashes"))
-        parts = rows.select("rid", F.size("hashes").alias("n"), F.posexplode("hashes").alias("pos", "block"))
-        parts = parts.join(_named(parts.select("block").distinct(), "block"), "block").select("rid", "n", "pos", "name")
-    longest = rows.agg(F.max(F.size("hashes"))).first()[0] or 1
+        shared = materialize(names.filter("shared").select("hash", F.lit(True).alias("shared")), "dedup-shared")
+        whole = base.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.size(blocks).alias("n"), blocks.alias("blocks"))
+        whole = whole.select("rid", "doc_id", "text_sha256", "n", F.posexplode("blocks").alias("pos", "block"))
+        whole = whole.withColumn("hash", key(F.col("block"))).join(shared, "hash", "left")
+        tie = F.when(F.col("shared"), F.concat(F.lit(b"="), F.col("block"))).otherwise(F.lit(b""))
+        whole = materialize(whole.select("rid", "doc_id", "text_sha256", "n", "pos", "hash", tie.alias("tie")), "dedup-whole")
+        rows = whole.filter("pos = 0").select("rid", "doc_id", "text_sha256", "n")
+        parts = whole.join(_named(whole.select("hash", "tie").distinct(), "hash", "tie"), ["hash", "tie"]).select("rid", "n", "pos", "name")
+    longest = rows.agg(F.max("n")).first()[0] or 1
     level, done = 0, []
     for level in range(math.ceil(math.log2(longest)) + 1):
         parts = materialize(parts, f"dedup-level{level}")
@@ -99,11 +103,16 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_bits: int
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_dedup() drops; all columns stay."""
+    """docs without the rows that exact_dedup() drops.
+
+    Null and empty texts are equal, so one of them stays; texts of any length are read whole. Of equal texts the row with the smallest
+    doc_id stays, and one of rows that repeat id and text. All columns stay, whatever their names. An empty table gives an empty result.
+    """
     found = materialize(exact_dedup(docs), "dedup-found")
-    stay = found.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_sha256", F.sha2(normalized().cast("binary"), 256))
-    out = marked.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha256") == F.col("_sha")), "left_semi")
+    own, who, sha = fresh(docs, "own", "who", "sha")
+    stay = found.filter("kept").select(F.col("doc_id").alias(who), F.col("text_sha256").alias(sha))
+    marked = docs.withColumn(own, F.sha2(normalized().cast("binary"), 256))
+    out = marked.join(stay, F.col("doc_id").eqNullSafe(F.col(who)) & (F.col(own) == F.col(sha)), "left_semi")
     if not found.filter("not kept and doc_id <=> keep_id").isEmpty():
-        out = out.dropDuplicates(["doc_id", "_sha256"])
-    return out.drop("_sha256")
+        out = out.dropDuplicates(["doc_id", own])
+    return out.select(*map(named, docs.columns))
