@@ -11,6 +11,9 @@ A key shared by more than `crowd` fingerprints is not compared within: its chain
 segment, with the changes that the longer budget allows, until a key is rare or all but one segment is in it
 (at most 2^12 or 2^13 distinct fingerprints then). That is exact too, so nothing is capped. Equal fingerprints
 are one node from the start, and components are found without leaving DataFrames.
+
+similar_classes() joins by Jaccard similarity: several rings, each from other hashes of the same shingles, find the
+candidates with a distance wide enough for the similarity, and the shingle sets themselves decide.
 """
 
 from __future__ import annotations
@@ -24,32 +27,51 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialize
+from gridloom.llm.common import fresh, materialize, named, release
 from gridloom.llm.components import connected_components
 
 BITS, DISTANCE, SEED, CROWD = 64, 4, 42, 1024
+#: Near copies by similarity: words a shingle, least Jaccard similarity, rings, bits in which one of them may differ.
+WIDTH, SIMILARITY, RINGS, NEAR = 5, 0.8, 3, 9
+#: The golden ratio and the multipliers of a well-known 64-bit finaliser.
+STEP, MIXERS = 0x9E3779B97F4A7C15, (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 #: The number of a start stands above the bits of its key.
 START = 58
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _shingles(words: list[bytes], width: int):
+    """The hashes of the shingles of width words, some at a time; of fewer words, of the whole sequence; of none, nothing."""
     line, hash_of = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        return hash_of(line, SEED)
+        if words:
+            yield np.array([hash_of(line, SEED)], np.uint64)
+        return
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
-    n, ones = len(words) - width + 1, np.zeros(BITS, np.int64)
+    n = len(words) - width + 1
     for at in range(0, n, 1 << 15):
         to = min(n, at + (1 << 15))
-        some = np.array([hash_of(line[i:j], SEED) for i, j in zip(starts[at:to].tolist(), ends[at + width - 1 : to + width - 1].tolist(), strict=True)], np.uint64)
+        yield np.array([hash_of(line[i:j], SEED) for i, j in zip(starts[at:to].tolist(), ends[at + width - 1 : to + width - 1].tolist(), strict=True)], np.uint64)
+
+
+def _majority(parts) -> int:
+    """Each bit that over half the hashes have; 0 of no hashes."""
+    n, ones = 0, np.zeros(BITS, np.int64)
+    for some in parts:
+        n += len(some)
         ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, width: int) -> int:
+    return _majority(_shingles(_words(text), width))
+
+
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) for each row."""
 
@@ -65,6 +87,8 @@ class Ring:
     """The ring of segments: widths, offsets, budgets, and keys as Columns."""
 
     def __init__(self, distance: int):
+        if not 0 < distance < 10:
+            raise ValueError("a key holds its start and all segments but one, so the distance is from 1 to 9")
         self.distance, self.n = distance, distance + 1
         self.widths = [BITS // self.n + (i < BITS % self.n) for i in range(self.n)]
         self.offsets = [sum(self.widths[:i]) for i in range(self.n)]
@@ -121,8 +145,9 @@ def links(distinct: DataFrame, distance: int = DISTANCE, crowd: int = CROWD) ->
             if crowded.isEmpty():
                 crowded = None
         rare_i, rare_q = (index, query) if crowded is None else (index.join(crowded, "key", "left_anti"), query.join(crowded, "key", "left_anti"))
-        q, x = rare_q.select("key", F.col("fp").alias("u"), "start"), rare_i.select("key", F.col("fp").alias("v"))
-        pairs = q.join(x, (q["key"] == x["key"]) & (q["u"] < x["v"]) & ring.viable(q["u"], x["v"], q["start"])).select("u", "v")
+        q, x = rare_q.select("key", F.col("fp").alias("u")), rare_i.select("key", F.col("fp").alias("v"))
+        start = F.shiftrightunsigned(q["key"], START).cast("int")
+        pairs = q.join(x, (q["key"] == x["key"]) & (q["u"] < x["v"]) & ring.viable(q["u"], x["v"], start)).select("u", "v")
         found = pairs if found is None else found.unionByName(pairs)
         if crowded is None:
             break
@@ -152,21 +177,121 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = DISTANCE, c
     return rows.join(tied, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
 
 
-def keep_nearest_first(docs: DataFrame, width: int = 4, distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
-    """docs with one row of each component: that with the smallest doc_id (all columns stay).
+def _remixed(hashes: np.ndarray, ring: int) -> np.ndarray:
+    """Other hashes of the same shingles for each ring, by an invertible mixing of 64 bits."""
+    if ring == 0:
+        return hashes
+    x = hashes ^ np.uint64(ring * STEP & (1 << 64) - 1)
+    for factor in MIXERS:
+        x = (x ^ x >> np.uint64(33)) * np.uint64(factor)
+    return x ^ x >> np.uint64(33)
+
+
+def _shingle_set(words: list[bytes], width: int) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_shingles(words, width)]))
+
+
+def _text_key(words: list[bytes]) -> bytes:
+    """128 bits that stand for a sequence of words."""
+    return xxhash.xxh128_digest(b"\n".join(words), SEED)
+
+
+def _sketches(docs: DataFrame, width: int, rings: int) -> DataFrame:
+    """doc_id, key (of the words), n (distinct shingles), fps (a fingerprint of the distinct shingles for each ring) of each row."""
+
+    def run(batches):
+        for batch in batches:
+            keys, sizes, fps = [], [], []
+            for text in batch.column("text"):
+                words = _words(text.as_py())
+                found = _shingle_set(words, width)
+                keys.append(_text_key(words))
+                sizes.append(len(found))
+                fps.append(np.array([_majority([_remixed(found, ring)]) for ring in range(rings)], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "key", "n", "fps"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, key binary, n long, fps array<long>")
+
+
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """key, shingles of each row of texts (text)."""
+
+    def run(batches):
+        for batch in batches:
+            words = [_words(text.as_py()) for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array([_text_key(w) for w in words], pa.binary()), pa.array([_shingle_set(w, width).view(np.int64) for w in words], pa.list_(pa.int64()))], ["key", "shingles"])
+
+    return texts.mapInArrow(run, "key binary, shingles array<long>")
+
 
-    Where ids repeat, the row that stays is told apart by its fingerprint, and one of rows equal in both stays.
+def _candidates(nodes: DataFrame, similarity: float, distance: int, rings: int, crowd: int) -> DataFrame:
+    """a < b: nodes within distance bits of each other in some ring, and of sizes that allow the similarity."""
+    found = None
+    for ring in range(rings):
+        one = materialize(nodes.select("node", "n", F.col("fps")[ring].alias("fp")), "near-ring")
+        met = links(one.select("fp").distinct(), distance, crowd).distinct()
+        same = one.groupBy("fp").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.col("fp").alias("u"), F.col("fp").alias("v"))
+        left, right = (one.select(F.col("fp").alias(fp), F.col("node").alias(node), F.col("n").alias(size)) for fp, node, size in (("u", "a", "n_a"), ("v", "b", "n_b")))
+        pairs = met.unionByName(same).join(left, "u").join(right, "v").filter((F.col("u") != F.col("v")) | (F.col("a") < F.col("b")))
+        pairs = pairs.filter(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = materialize(pairs, "near-pairs")
+        release(one)
+        found = pairs if found is None else found.unionByName(pairs)
+    return materialize(found.distinct(), "near-candidates")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """u, v: the pairs whose shingle sets have that Jaccard similarity or more."""
+    left, right = (sets.select(F.col("node").alias(node), F.col("shingles").alias(held)) for node, held in (("a", "of_a"), ("b", "of_b")))
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("common"), (F.size("of_a") + F.size("of_b")).alias("both"))
+    return met.filter(F.col("common") >= similarity * (F.col("both") - F.col("common"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def similar_classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, distance: int = NEAR, rings: int = RINGS, crowd: int = CROWD) -> DataFrame:
+    """doc_id, key (128 bits of the words) and root of the class of each row of docs: texts of a class are tied by links of that similarity.
+
+    Two texts link if the Jaccard similarity of their sets of width-word shingles (A-Z in lower case; of fewer words the whole
+    sequence is the one shingle) is at least `similarity` and the 64-bit fingerprints of the sets differ in at most `distance`
+    bits in one of `rings` independent rings. Rings find candidates, pigeonring filtering prunes them, the sets decide.
+    A first pick for each text ties most of a group; other pairs are compared only if the picks leave them apart, so large groups
+    of near copies cost about one comparison a text. Equal word sequences are one node; null, empty and blank texts are equal.
+    """
+    rows = materialize(_sketches(docs, width, rings).withColumn("rid", F.monotonically_increasing_id()), "near-rows")
+    nodes = materialize(rows.groupBy("key").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fps").alias("fps")), "near-nodes")
+    pairs = _candidates(nodes, similarity, distance, rings, crowd)
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    held = materialize(nodes.join(ends, "node", "left_semi").select("node", "key", F.col("least").alias("who")), "near-held")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(held.select("who").distinct(), F.col("doc_id").eqNullSafe(F.col("who")), "left_semi")
+    sets = materialize(_sets(texts.select("text"), width).join(held.select("key", "node"), "key").dropDuplicates(["node"]).select("node", "shingles"), "near-sets")
+    picks = pairs.groupBy("a").agg(F.min("b").alias("b")).unionByName(pairs.groupBy("b").agg(F.min("a").alias("a"))).distinct()
+    tied = materialize(_similar(picks, sets, similarity), "near-ties")
+    roots = materialize(connected_components(tied), "near-roots")
+    apart = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b", "left")
+    apart = apart.filter(~F.coalesce(F.col("root_a") == F.col("root_b"), F.lit(False))).select("a", "b")
+    more = materialize(_similar(apart, sets, similarity), "near-ties")
+    roots = materialize(connected_components(tied.unionByName(more)), "near-roots")
+    tied = nodes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
+    return rows.join(tied, "key").select("doc_id", "key", "root")
+
+
+def keep_nearest_first(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each of similar_classes(): that with the smallest doc_id, null ids last.
+
+    Null, empty and blank texts are equal, so one of them stays; texts of any length are read whole. Rows that share an id are told
+    apart by their words, and one of rows equal in both stays. All columns stay, whatever their names. An empty table gives an empty result.
     """
-    found = materialize(near_duplicates(docs, width, distance, crowd), "simhash-found")
-    stay = found.filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_fp"), F.col("component_id").alias("_group"))
+    found = materialize(similar_classes(docs, **options), "near-found")
+    stay = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")).alias("s"))
+    who, own, key = fresh(docs, "who", "own", "key")
+    stay = materialize(stay.select(F.col("s.doc_id").alias(who), F.col("s.key").alias(key)), "near-stay")
+    mine = F.col("doc_id").cast("long").eqNullSafe(F.col(who))
     if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        return docs.join(stay, mine, "left_semi")
 
-    @F.pandas_udf("string")
-    def hexed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda text: f"{fingerprint(text, width):016x}")
+    @F.pandas_udf("binary")
+    def keyed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: _text_key(_words(text)))
 
-    one = stay.groupBy("_id", "_group").agg(F.min("_fp").alias("_fp"))
-    out = docs.withColumn("_own", hexed(F.col("text").cast("string")))
-    out = out.join(one, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_fp")), "left_semi")
-    return out.dropDuplicates(["doc_id", "_own"]).drop("_own")
+    out = docs.withColumn(own, keyed(F.col("text").cast("string"))).join(stay, mine & (F.col(own) == F.col(key)), "left_semi")
+    return out.dropDuplicates(["doc_id", own]).select(*map(named, docs.columns))

@@ -90,8 +90,46 @@ def test_near(spark):
     for (i, _), v, c in zip(rows, values, root):
         want.setdefault(str(i), set()).add((f"{v:016x}", least[c]))
     assert got == want
-    kept = [r.doc_id for r in keep_nearest_first(frame(spark, rows)).collect()]
-    assert sorted(kept) == sorted({x for x in least.values()})
+
+
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def near_rows():
+    rng = random.Random(12)
+    rows = list(EDGES) + [(None, "only one without an id " * 3), (None, "another text without any id")]
+    for i in range(30):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.choice([4, 30, 90, 300]))]
+        rows.append((1000 + i, " ".join(words)))
+        for k in range(3):
+            for _ in range(rng.randrange(1, 2 + len(words) // 30)):
+                words[rng.randrange(len(words))] = "changed"
+            rows.append((3000 + 10 * i + k, " \n".join(words)))
+    return rows
+
+
+def test_similar_classes(spark):
+    """Classes are tied by links of 0.8, all rows of a class reach each other, and (with a wide ring) none is lost."""
+    rows = near_rows()
+    sets = [shingles(t) for _, t in rows]
+    similar = lambda a, b: a == b or bool(a and b) and len(a & b) >= 0.8 * len(a | b)
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if similar(sets[i], sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    groups = {}
+    for (i, t), r in zip(rows, root):
+        groups.setdefault(r, []).append(i)
+    want = sorted(str(min((x for x in g if x is not None), default=None)) for g in groups.values())
+    assert 40 < len(want) < len(rows) - 20
+    for options in ({"distance": 9, "rings": 4}, {"distance": 9, "rings": 4, "crowd": 2}):
+        out = keep_nearest_first(frame(spark, rows), **options)
+        assert out.columns == ["doc_id", "text", "name", "bucket", "fp"]
+        assert sorted(str(r.doc_id) for r in out.collect()) == want
 
 
 @pytest.mark.parametrize("crowd", [1024, 2])

@@ -7,10 +7,13 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
-import xxhash  # noqa: F401  the operators need it too
+import pytest
+from pyspark.sql import functions as F
 
+from gridloom.llm.exact_dedup import keep_first
 from gridloom.llm.pii import KINDS, personal_data, sanitised
 from gridloom.llm.quality import keep_good, quality
+from gridloom.llm.simhash import keep_nearest_first
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, words string, removed string"
 
@@ -32,21 +35,14 @@ def line_key(line):
 
 
 def brute_kept(rows):
-    """The verdict by its definition, all pairs in plain dicts."""
-    texts = defaultdict(set)
+    """The verdict by its definition, in plain dicts."""
+    documents, held = defaultdict(set), defaultdict(set)
     for _, t, s in rows:
-        texts[s or ""].add(t or "")
-    often = set()
-    for host, all_of in texts.items():
-        around = defaultdict(dict)
-        for t in all_of:
-            keys = [line_key(x) for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-            for i, k in reversed(list(enumerate(keys))):
-                around[k][t] = (keys[i - 1] if i else None, keys[i + 1] if i + 1 < len(keys) else None)
-        for k, by_text in around.items():
-            n = len(by_text)
-            if n > 10 and n > 0.005 * len(all_of) and len({*by_text.values()}) >= 0.5 * n:
-                often.add((host, k))
+        documents[s or ""].add(line_key(t or ""))
+        for x in (t or "").split("\n"):
+            if re.search(r"[^\x20\x09-\x0D]", x):
+                held[s or "", line_key(x)].add(line_key(t or ""))
+    often = {(host, k) for (host, k), by in held.items() if len(by) > 10 and len(by) > 0.005 * len(documents[host])}
     out = []
     for i, t, s in rows:
         t, s = t or "", s or ""
@@ -63,8 +59,11 @@ def corpus():
     rows = [(i, "\n".join([boiler.replace("2024", str(2000 + i)), " ".join(word() for _ in range(rng.randrange(1, 60)))]), "h") for i in range(40)]
     rows += [(100, boiler, "h"), (101, boiler + "\n" + boiler, "h"), (102, boiler, "other"), (103, None, None), (104, "", "h"), (105, " \n\t \n ", None), (105, " \n\t \n ", None), (None, "x # % | <a> " * 30, "h")]
     rows += [(200 + i, "\n".join(f"{k} " + " ".join(word() for _ in range(9)) for k in "pqr") + "\n" + rows[0][1] * (i % 3), "h") for i in range(20)]
-    near = [" ".join(word() for _ in range(12)) for _ in range(30)]
-    rows += [(300 + i, "\n".join(near[:i] + ["changed here"] + near[i + 1 :]), "h") for i in range(30)]
+    copied = "\n".join(" ".join(word() for _ in range(12)) for _ in range(6))
+    rows += [(300 + i, copied.replace(" ", "  " if i % 2 else " ", i), "h") for i in range(30)]
+    foot = [" ".join(word() for _ in range(4)) for _ in range(5)]
+    rows += [(500 + i, "\n".join([*foot[: i % 2 * 5], *(" ".join(word() for _ in range(60)) for _ in range(3)), *foot]), "h") for i in range(40)]
+    rows += [(600 + i, "\n".join([*foot, *foot, word()]), "h") for i in range(3)]
     rows += [(400, "long " * 50_000, "h"), (401, " ".join(map(str, range(30_000))), "h")]
     return rows
 
@@ -77,7 +76,7 @@ def test_quality(spark):
     assert sorted(key((r.doc_id, r.base_failed, r.kept, r.n_removed_words)) for r in got) == sorted(key(x) for x in brute_kept(rows))
     verdict = {r.doc_id: r for r in got}
     assert not verdict[100].base_failed and not verdict[100].kept and verdict[102].kept
-    assert all(verdict[300 + i].kept for i in range(30))
+    assert all(verdict[300 + i].kept for i in range(30)) and not any(verdict[600 + i].kept for i in range(3))
 
 
 def test_quality_keeps_columns_and_drops_lines(spark):
@@ -90,6 +89,33 @@ def test_quality_keeps_columns_and_drops_lines(spark):
     assert all(r.n_chars == len(r.text) for r in got)
     start = rows[0][1][:40]
     assert not any(start in r.text for r in got if r.source == "h" and (r.doc_id or 999) < 200)
+    foot = next(t for i, t, _ in rows if i == 500).split("\n")[3:]
+    assert len(foot) == 5 and not any(line in r.text for r in got for line in foot if 500 <= (r.doc_id or 0) < 540)
+    assert sum(500 <= (r.doc_id or 0) < 540 for r in got) == 40
+    assert any(r.doc_id == 300 and r.text == next(t for i, t, _ in rows if i == 300) for r in got)
+
+
+def clashing(spark, rows, *names):
+    """frame(), with more columns of those names, one of them with a dot."""
+    out = frame(spark, rows).drop("key", "words", "removed")
+    for name in (*names, "a.b"):
+        out = out.withColumn(name, F.lit(f"<{name}>"))
+    return out
+
+
+HELPERS = "own _own OWN at who gone ruled removed host raw_key text_key rid key lines kept s l marks hidden spans entity term fp n least doc base_failed _id _at _removed _marks".split()
+
+
+@pytest.mark.parametrize("step", [keep_good, sanitised, keep_first, keep_nearest_first])
+def test_clashing_columns(spark, step):
+    rows = [r for r in corpus() if r[0] is None or r[0] < 110 or r[0] >= 500] + [(700, "write to jo@ex.org " + " ".join(map(str, range(40))), None)]
+    names = [n for k, n in enumerate(HELPERS) if n.lower() not in {x.lower() for x in HELPERS[:k]}]
+    plain, more = step(frame(spark, rows)), step(clashing(spark, rows, *names))
+    assert more.columns == ["doc_id", "text", "lang", "source", "n_chars", *names, "a.b"]
+    key = lambda r: (str(r["doc_id"]), str(r["text"]), r["n_chars"])
+    got = more.collect()
+    assert sorted(map(key, got)) == sorted(map(key, plain.collect()))
+    assert all(r[n] == f"<{n}>" for r in got for n in (*names, "a.b"))
 
 
 BASE = [
