@@ -3,12 +3,14 @@
 Base: e-mail addresses, IP addresses, card and phone numbers by pattern, each kind leftmost and non-overlapping, with
 code-point offsets (matches and the text between them give the offsets).
 
-Method: information-theoretic sanitisation. Each value found is a protected entity. Terms around its mentions
-are counted over the corpus, copies of a text once: how far the term t narrows down the entity c is their pointwise
-mutual information log2(N df(t,c) / (df(t) df(c))), as a share of the entity's information log2(N / df(c)).
-Terms seen with an entity in enough different texts whose share exceeds a threshold are generalised around its
-mentions, those above a higher one removed. Evidence and effect lie in the same window, so both are linear in
-the number of mentions; document frequencies of the candidate terms are counted over the whole corpus.
+Method: information-theoretic sanitisation. Each value found, and each domain of an e-mail address, is a protected entity.
+Terms are counted with the entities of a text wherever they stand in it, over the corpus, copies of a text once: how far the
+term t narrows down the entity c is their pointwise mutual information log2(N df(t,c) / (df(t) df(c))), as a share of the
+entity's information log2(N / df(c)). Terms seen with an entity in enough different texts whose share exceeds a threshold are
+generalised wherever they stand in the entity's texts, those above a higher one removed.
+
+A share of g needs df(t) <= df(t,c) (N / df(c))^(1 - g), and df(t) is at least what the texts with entities show: that rules out
+all but a few pairs before terms are counted over the whole corpus.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import let, materialize, running, text_of
+from gridloom.llm.common import fresh, let, materialize, release, rewritten, running, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -30,9 +32,10 @@ PATTERNS = {
 #: A text without this has no match of the kind.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Code points of text on either side of a mention; a term: letters that nothing ties to an address or number; texts that must show a term with an entity; thresholds.
-REACH, SUPPORT, GENERALISE, REMOVE = 80, 3, 0.8, 0.95
-TERM_PATTERN = r"(?<![\p{L}0-9@._%+-])\p{L}{4,}+(?![0-9@_%+-]|\.\S)"
+#: Texts that must show a term with an entity; shares of the entity's information from which a term is generalised, and removed.
+SUPPORT, GENERALISE, REMOVE = 2, 0.8, 0.95
+#: A term: letters that nothing ties to an address or number, so that none is found inside a base span.
+TERM_PATTERN = r"(?<![\p{L}0-9@._%+-])\p{L}{2,}+(?![0-9@_%+-]|\.\S)"
 
 
 def _digits(match: Column) -> Column:
@@ -59,8 +62,8 @@ def _valid(kind: str, match: Column) -> Column:
     return size.between(10, 15) if kind == "phone" else F.when(size.between(14, 19), let(_digits(match), _luhn)).otherwise(F.lit(False))
 
 
-def places(text: Column, pattern: str, extra=None) -> Column:
-    """start, end (code points), from, to (bytes), value of each match in text, and what extra(before, after) makes of the text on either side."""
+def places(text: Column, pattern: str) -> Column:
+    """start, end (code points), from, to (bytes), value of each match in text."""
 
     def build(matches: Column, between: Column) -> Column:
         steps = F.transform(matches, lambda m, i: F.struct((F.length(m) + F.length(between[i])).alias("c"), (F.octet_length(m) + F.octet_length(between[i])).alias("b")))
@@ -71,8 +74,7 @@ def places(text: Column, pattern: str, extra=None) -> Column:
             def one(m: Column, i: Column) -> Column:
                 def at(sums: Column) -> Column:
                     c, b = sums["c"] + F.length(between[i]), sums["b"] + F.octet_length(between[i])
-                    more = [] if extra is None else [extra(between[i], between[i + 1]).alias("extra")]
-                    return F.struct(c.alias("start"), (c + F.length(m)).alias("end"), b.alias("from"), (b + F.octet_length(m)).alias("to"), m.alias("value"), *more)
+                    return F.struct(c.alias("start"), (c + F.length(m)).alias("end"), b.alias("from"), (b + F.octet_length(m)).alias("to"), m.alias("value"))
 
                 return let(before(i), at)
 
@@ -83,74 +85,73 @@ def places(text: Column, pattern: str, extra=None) -> Column:
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, let(F.split(text, pattern, -1), lambda b: build(m, b))))
 
 
-def _context(before: Column, after: Column) -> Column:
-    """The nearest text on either side; a word that the cut splits is left out."""
-    left = F.when(F.length(before) > REACH, F.regexp_replace(F.right(before, F.lit(REACH)), r"\A\S*", "")).otherwise(before)
-    right = F.when(F.length(after) > REACH, F.regexp_replace(F.left(after, F.lit(REACH)), r"\S*\z", "")).otherwise(after)
-    return F.struct(left.alias("left"), right.alias("right"))
-
-
 def _spans_of(text: Column, i: int, kind: str) -> Column:
     def span(m: Column) -> Column:
         entity = F.concat(F.lit(kind + ":"), F.lower(m["value"]) if kind in ("email", "ip") else _digits(m["value"]))
-        return F.struct(m["start"].alias("start"), F.lit(i).alias("kind"), m["end"].alias("end"), m["from"].alias("from"), m["to"].alias("to"), entity.alias("entity"), m["extra"].alias("around"))
+        return F.struct(m["start"].alias("start"), F.lit(i).alias("kind"), m["end"].alias("end"), m["from"].alias("from"), m["to"].alias("to"), entity.alias("entity"))
 
-    kept = F.filter(places(text, PATTERNS[kind], _context), lambda m: _valid(kind, m["value"]))
+    kept = F.filter(places(text, PATTERNS[kind]), lambda m: _valid(kind, m["value"]))
     return F.coalesce(F.when(text.rlike(NEEDS[kind]), F.transform(kept, span)), F.array())
 
 
 def _spans(text: Column) -> Column:
-    """All base spans in order of start, then kind, each with its entity and the text around it."""
+    """All base spans in order of start, then kind, each with its entity."""
     return F.sort_array(F.concat(*[_spans_of(text, i, kind) for i, kind in enumerate(KINDS)]))
 
 
-def _terms(spans: Column) -> Column:
-    """entity, term, places of each term around each span. TERM_PATTERN finds none inside another span."""
-
-    def of(span: Column) -> Column:
-        def side(text: Column, c: Column, b: Column) -> Column:
-            found = F.transform(places(text, TERM_PATTERN), lambda t: F.struct(
-                span["entity"].alias("entity"), F.lower(t["value"]).alias("term"), (c + t["start"]).alias("start"), (c + t["end"]).alias("end"), (b + t["from"]).alias("from"), (b + t["to"]).alias("to")))
-            return F.coalesce(found, F.array())
+def _entities(spans: Column) -> Column:
+    """The different entities of a text: the values, and the domains of addresses."""
+    values = F.transform(spans, lambda s: s["entity"])
+    domains = F.transform(F.filter(values, lambda e: e.startswith("email:")), lambda e: F.concat(F.lit("domain:"), F.substring_index(e, "@", -1)))
+    return F.array_distinct(F.concat(values, domains))
 
-        left, right = span["around"]["left"], span["around"]["right"]
-        return F.concat(side(left, span["start"] - F.length(left), span["from"] - F.octet_length(left)), side(right, span["end"], span["to"]))
 
-    return F.flatten(F.transform(spans, of))
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM_PATTERN), F.lit(0)))
 
 
-def disclosing(rows: DataFrame, docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """entity, term, removed: the pairs above the threshold. rows: text_key, spans, terms of documents with a span."""
-    pairs = rows.select("text_key", F.explode("terms").alias("t")).select("text_key", "t.entity", "t.term").distinct()
-    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_both")).filter(F.col("df_both") >= support)
-    pairs = materialize(pairs, "pii-pairs")
-    if pairs.isEmpty():
-        return pairs.select("entity", "term", F.lit(False).alias("removed"))
-    entities = rows.select("text_key", F.explode("spans.entity").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
+def disclosing(held: DataFrame, docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """entity, term, removed: the pairs above the threshold. held: text_key, text, spans of the rows of docs with a span."""
+    texts = held.groupBy("text_key").agg(F.first("text").alias("text"), F.first("spans").alias("spans"))
+    texts = materialize(texts.select("text_key", _entities(F.col("spans")).alias("entities"), "text"), "pii-texts")
+    entities = texts.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity")).filter(F.col("df_entity") >= support)
+    entities = materialize(entities, "pii-entities")
+    known = texts.select("text_key", F.explode("entities").alias("entity")).join(entities, "entity").select("text_key", "entity")
+    known = materialize(known.groupBy("text_key").agg(F.collect_list("entity").alias("entities")), "pii-known")
+    terms = texts.join(known.select("text_key"), "text_key", "left_semi").select("text_key", _terms(F.col("text")).alias("terms"))
+    terms = materialize(terms, "pii-words")
+    # A term must be in `support` of the texts with such entities, and its count there is the least that it can have.
+    seen = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_least")).filter(F.col("df_least") >= support)
     n = docs.select(F.xxhash64(text_of()).alias("text_key")).distinct().count()
-    # A term is in at least the texts that show it around a mention: if that is too many for the threshold, its count isn't needed.
-    seen = rows.select("text_key", F.explode("terms.term").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df_least"))
+    pairs = terms.join(known, "text_key").select("entities", F.explode("terms").alias("term")).select(F.explode("entities").alias("entity"), "term")
+    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_both")).filter(F.col("df_both") >= support)
     may = F.col("df_least") <= F.col("df_both") * F.pow(F.lit(float(n)) / F.col("df_entity"), F.lit(1 - generalise)) * 1.000001
     pairs = materialize(pairs.join(entities, "entity").join(seen, "term").filter(may).select("entity", "term", "df_both", "df_entity"), "pii-candidates")
-    words = docs.select(F.xxhash64(text_of()).alias("text_key"), F.explode(F.array_distinct(F.split(F.lower(text_of()), r"[^\p{L}]+"))).alias("term"))
-    terms = words.join(pairs.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
-    scored = pairs.join(terms, "term")
+    for used in (texts, terms, known):
+        release(used)
+    if pairs.isEmpty():
+        return pairs.select("entity", "term", F.lit(False).alias("removed"))
+    words = docs.select(F.xxhash64(text_of()).alias("text_key"), F.explode(_terms(text_of())).alias("term"))
+    counts = words.join(pairs.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
+    scored = pairs.join(counts, "term")
     share = F.when(F.col("df_entity") < n, F.log2(F.col("df_both") * F.lit(float(n)) / F.col("df_term") / F.col("df_entity")) / F.log2(F.lit(float(n)) / F.col("df_entity")))
     return materialize(scored.withColumn("share", share).filter(F.col("share") >= generalise).select("entity", "term", (F.col("share") >= remove).alias("removed")), "pii-disclosing")
 
 
 def _found(docs: DataFrame, options: dict) -> DataFrame:
-    """rid, doc_id, text_key, spans, terms to treat (start, end, removed) for each row of docs."""
+    """rid, doc_id, text_key, spans, terms to treat (start, end, from, to, removed) for each row of docs."""
     text = text_of()
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64(text).alias("text_key"), let(text, lambda t: let(_spans(t), lambda s: F.struct(s.alias("spans"), _terms(s).alias("terms")))).alias("x"))
-    rows = materialize(rows.select("rid", "doc_id", "text_key", F.transform("x.spans", lambda s: s.dropFields("around")).alias("spans"), "x.terms"), "pii-rows")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64(text).alias("text_key"), let(text, lambda t: let(_spans(t), lambda s: F.struct(s.alias("spans"), F.when(F.size(s) > 0, t).alias("text")))).alias("x"))
+    rows = materialize(rows.select("rid", "doc_id", "text_key", "x.*"), "pii-rows")
     held = rows.filter(F.size("spans") > 0)
     told = disclosing(held, docs, **options)
-    near = held.select("rid", F.explode("terms").alias("t")).select("rid", "t.*").join(told, ["entity", "term"])
-    near = near.groupBy("rid", "start", "end", "from", "to").agg(F.max("removed").alias("removed"))
-    near = materialize(near.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "from", "to", "removed"))).alias("hidden")), "pii-terms")
+    mine = held.select("rid", F.explode(_entities(F.col("spans"))).alias("entity")).join(told, "entity").groupBy("rid", "term").agg(F.max("removed").alias("removed"))
+    mine = materialize(mine, "pii-mine")
+    found = held.select("rid", "text").join(mine.select("rid").distinct(), "rid", "left_semi").select("rid", places(F.col("text"), TERM_PATTERN).alias("terms"))
+    found = found.select("rid", F.explode("terms").alias("t")).select("rid", F.lower("t.value").alias("term"), "t.start", "t.end", "t.from", "t.to").join(mine, ["rid", "term"])
+    found = materialize(found.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "from", "to", "removed"))).alias("hidden")), "pii-terms")
     none = F.array().cast("array<struct<start:int,end:int,from:int,to:int,removed:boolean>>")
-    return rows.drop("terms").join(near, "rid", "left").withColumn("hidden", F.coalesce("hidden", none))
+    return rows.drop("text").join(found, "rid", "left").withColumn("hidden", F.coalesce("hidden", none))
 
 
 def _written(spans: Column) -> Column:
@@ -175,13 +176,16 @@ def personal_data(docs: DataFrame, **options) -> DataFrame:
 def sanitised(docs: DataFrame, **options) -> DataFrame:
     """docs with personal data replaced by [EMAIL], [IP], [CARD], [PHONE], generalised terms by [TERM], and removed terms cut out.
 
-    Of base spans that overlap, the first (then by kind) is replaced, and the rest of the others with it. All rows and columns stay.
+    Of base spans that overlap, the first (then by kind) is replaced, and the rest of the others with it. Null, empty and other texts
+    without a span stay as they are; texts of any length are read whole, rows that repeat are treated alike. All rows and columns
+    stay, whatever their names. An empty table gives an empty result.
     """
-    found = _found(docs, options).filter((F.size("spans") > 0)).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "spans", "hidden").dropDuplicates(["_id", "_key"])
+    who, own, key, marks = fresh(docs, "who", "own", "key", "marks")
+    found = _found(docs, options).filter((F.size("spans") > 0)).dropDuplicates(["doc_id", "text_key"])
     masks = F.array(*[F.lit(f"[{k.upper()}]") for k in (*KINDS, TERM)])
     mark = lambda s, kind, mask: F.struct(s["from"].alias("from"), kind.alias("kind"), s["to"].alias("to"), mask.alias("mask"))
-    marks = F.concat(F.transform("spans", lambda s: mark(s, s["kind"], masks[s["kind"]])), F.transform("hidden", lambda s: mark(s, F.lit(len(KINDS)), F.when(s["removed"], "").otherwise(masks[len(KINDS)]))))
-    found = found.select("_id", "_key", F.sort_array(marks).alias("_marks"))
+    all_of = F.concat(F.transform("spans", lambda s: mark(s, s["kind"], masks[s["kind"]])), F.transform("hidden", lambda s: mark(s, F.lit(len(KINDS)), F.when(s["removed"], "").otherwise(masks[len(KINDS)]))))
+    found = found.select(F.col("doc_id").alias(who), F.col("text_key").alias(key), F.sort_array(all_of).alias(marks))
     raw = F.col("text").cast("binary")  # slices of bytes: the place of a slice costs nothing
 
     def cut(marks: Column, before) -> Column:
@@ -190,10 +194,7 @@ def sanitised(docs: DataFrame, **options) -> DataFrame:
         piece = lambda s, i: let(before(i), lambda at: F.concat(gap(at, s["from"]), F.when(s["from"] >= at, s["mask"]).otherwise("")))
         return F.concat(F.array_join(F.transform(marks, piece), ""), let(before(F.size(marks)), lambda at: gap(at, F.octet_length(raw))))
 
-    whole = let(F.col("_marks"), lambda m: running(F.transform(m, lambda s: s["to"]), F.lit(0), lambda a, x: F.greatest(a, x), lambda before: cut(m, before)))
-    marked = docs.withColumn("_own", F.xxhash64(text_of()))
-    out = marked.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left")
-    out = out.withColumn("text", F.when(F.col("_marks").isNull(), F.col("text")).otherwise(whole))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_marks").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    whole = let(F.col(marks), lambda m: running(F.transform(m, lambda s: s["to"]), F.lit(0), lambda a, x: F.greatest(a, x), lambda before: cut(m, before)))
+    marked = docs.withColumn(own, F.xxhash64(text_of()))
+    out = marked.join(found, F.col("doc_id").eqNullSafe(F.col(who)) & (F.col(own) == F.col(key)), "left")
+    return rewritten(out, docs, F.col(marks).isNotNull(), whole)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from gridloom.llm.exact_dedup import keep_first
@@ -148,20 +149,67 @@ def test_personal_data(spark):
     assert got == sorted(want)
 
 
-def test_terms_that_disclose(spark):
+TERM = regex.compile(r"(?<![\p{L}0-9@._%+-])\p{L}{2,}+(?![0-9@_%+-]|\.\S)")
+
+
+def brute_terms(rows, support=2, generalise=0.8, remove=0.95):
+    """term -> removed, for each text: every term of every text against every entity, by the definition."""
+    texts = {t or "" for _, t, _ in rows}
+    terms = {t: {m[0].lower() for m in TERM.finditer(t)} for t in texts}
+    entities = {t: set() for t in texts}
+    for t in texts:
+        for a, k, b in base_spans(t):
+            value = t[a:b].lower() if k < 2 else re.sub("[^0-9]", "", t[a:b])
+            entities[t] |= {f"{KINDS[k]}:{value}"} | ({"domain:" + value.split("@")[1]} if k == 0 else set())
+    df_term = Counter(w for t in texts for w in terms[t])
+    df_entity = Counter(e for t in texts for e in entities[t])
+    both = Counter((e, w) for t in texts for e in entities[t] for w in terms[t])
+    told, n = defaultdict(dict), len(texts)
+    for (e, w), k in both.items():
+        if k >= support and df_entity[e] < n:
+            share = math.log2(k * n / df_term[w] / df_entity[e]) / math.log2(n / df_entity[e])
+            if share >= generalise:
+                told[e][w] = share >= remove
+    out = {}
+    for t in texts:
+        mine = {}
+        for e in entities[t]:
+            for w, gone in told[e].items():
+                mine[w] = mine.get(w, False) or gone
+        out[t] = sorted((m.start(), m.end(), mine[m[0].lower()]) for m in TERM.finditer(t) if m[0].lower() in mine)
+    return out
+
+
+def disclosed_rows():
     rng = random.Random(7)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
-    rows = [(i, f"{word()} the zorblatt of {word()} wrote to boss@corp.example about {word()} the end", "s") for i in range(8)]
-    rows += [(100 + i, f"the {word()} about the {word()} of one", "s") for i in range(60)] + [(200 + i, "copied rareword boss@corp.example", "s") for i in range(9)]
-    got = {r.doc_id: r for r in personal_data(frame(spark, rows)).collect()}
-    for i, text, _ in rows[:8]:
-        at = text.index("zorblatt")
-        assert f"term:{at}:{at + 8}" in got[i].spans and "email:" in got[i].spans
-        assert f"term:{text.index('about')}" not in got[i].spans
-    assert all(got[i].spans == "" for i in range(100, 160)) and all(got[i].n_term == 0 for i in range(200, 209))
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
+    far = lambda: " ".join(word() for _ in range(60))
+    rows = [(i, f"{word()} the Zorblatt of {word()} {far()} wrote to boss{i % 2}@corp.example about {word()} the end, zorblatt", "s") for i in range(8)]
+    rows += [(100 + i, f"the {word()} about the {word()} of one {far()}", "s") for i in range(120)] + [(1200 + i, "copied rareword lone@mail.example", "s") for i in range(9)]
+    rows += [(300 + i, f"Wú {far()} +1 (555) 010-99{i % 5}9 {far()} Wú éa+b@x.example {word()}.", "s") for i in range(30)]
+    return rows + [(400, "zorblatt " * 20_000 + "boss0@corp.example", "s"), (401, "zorblatt and rareword alone", "s"), (402, None, None), (403, "", "s")]
+
+
+def test_terms_that_disclose(spark):
+    rows = disclosed_rows()
+    got, want = {r.doc_id: r for r in personal_data(frame(spark, rows)).collect()}, brute_terms(rows)
+    for i, text, _ in rows:
+        spans = sorted([(a, k, b) for a, k, b in base_spans(text or "")] + [(a, 4, b) for a, b, _ in want[text or ""]])
+        assert got[i].spans == ",".join(f"{(*KINDS, 'term')[k]}:{a}:{b}" for a, k, b in spans)
+        assert got[i].n_term == len(want[text or ""])
+    assert all(got[i].n_term >= 2 for i in range(8)) and got[400].n_term == 20_000
+    assert all(got[i].n_term == 0 for i in [*range(100, 220), *range(1200, 1209), 401]) and any(got[i].n_term for i in range(300, 330))
     out = {r.doc_id: r for r in sanitised(frame(spark, rows)).collect()}
-    assert all("zorblatt" not in out[i].text and "[EMAIL]" in out[i].text and out[i].n_chars == len(out[i].text) for i in range(8))
-    assert all(out[i].text == t for i, t, _ in rows[8:68])
+    assert all("orblatt" not in out[i].text and "[EMAIL]" in out[i].text and out[i].n_chars == len(out[i].text) for i in [*range(8), 400])
+    assert all(out[i].text == t for i, t, _ in rows if not base_spans(t or ""))
+    for i, t, _ in rows:
+        marks = sorted([(a, k, b, f"[{KINDS[k].upper()}]") for a, k, b in base_spans(t or "")] + [(a, 4, b, "" if gone else "[TERM]") for a, b, gone in want[t or ""]])
+        if marks:
+            cut, at = [], 0
+            for a, _, b, mask in marks:
+                cut += [t[at:a], mask] if a >= at else []
+                at = max(at, b)
+            assert out[i].text == "".join(cut) + t[at:]
 
 
 def test_sanitised_text(spark):
