@@ -132,7 +132,8 @@ def disclosing(held: DataFrame, docs: DataFrame, support: int = SUPPORT, general
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(False).alias("removed"))
     words = docs.select(F.xxhash64(text_of()).alias("text_key"), F.explode(_terms(text_of())).alias("term"))
-    counts = words.join(pairs.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
+    wanted = materialize(pairs.select("term").distinct(), "pii-wanted")  # written, so that Spark knows its size: while it is small, words don't travel
+    counts = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
     scored = pairs.join(counts, "term")
     share = F.when(F.col("df_entity") < n, F.log2(F.col("df_both") * F.lit(float(n)) / F.col("df_term") / F.col("df_entity")) / F.log2(F.lit(float(n)) / F.col("df_entity")))
     return materialize(scored.withColumn("share", share).filter(F.col("share") >= generalise).select("entity", "term", (F.col("share") >= remove).alias("removed")), "pii-disclosing")
@@ -148,7 +149,8 @@ def _found(docs: DataFrame, options: dict) -> DataFrame:
     mine = held.select("rid", F.explode(_entities(F.col("spans"))).alias("entity")).join(told, "entity").groupBy("rid", "term").agg(F.max("removed").alias("removed"))
     mine = materialize(mine, "pii-mine")
     found = held.select("rid", "text").join(mine.select("rid").distinct(), "rid", "left_semi").select("rid", places(F.col("text"), TERM_PATTERN).alias("terms"))
-    found = found.select("rid", F.explode("terms").alias("t")).select("rid", F.lower("t.value").alias("term"), "t.start", "t.end", "t.from", "t.to").join(mine, ["rid", "term"])
+    # explode_outer: explode would have the places found once more, for every text, to leave out those without
+    found = found.select("rid", F.explode_outer("terms").alias("t")).select("rid", F.lower("t.value").alias("term"), "t.start", "t.end", "t.from", "t.to").join(mine, ["rid", "term"])
     found = materialize(found.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "from", "to", "removed"))).alias("hidden")), "pii-terms")
     none = F.array().cast("array<struct<start:int,end:int,from:int,to:int,removed:boolean>>")
     return rows.drop("text").join(found, "rid", "left").withColumn("hidden", F.coalesce("hidden", none))
