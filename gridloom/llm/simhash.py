@@ -18,6 +18,7 @@ candidates with a distance wide enough for the similarity, and the shingle sets
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -32,7 +33,7 @@ from gridloom.llm.components import connected_components
 
 BITS, DISTANCE, SEED, CROWD = 64, 4, 42, 1024
 #: Near copies by similarity: words a shingle, least Jaccard similarity, rings, bits in which one of them may differ.
-WIDTH, SIMILARITY, RINGS, NEAR = 5, 0.8, 3, 9
+WIDTH, SIMILARITY, RINGS, NEAR = 5, 0.8, 4, 7
 #: The golden ratio and the multipliers of a well-known 64-bit finaliser.
 STEP, MIXERS = 0x9E3779B97F4A7C15, (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 #: The number of a start stands above the bits of its key.
@@ -101,11 +102,12 @@ class Ring:
 
     def mask(self, start: Column, length: int) -> Column:
         masks = [(1 << self.width(s, length)) - 1 for s in range(self.n)]
-        return F.element_at(F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks]), start + 1)
+        masks = [F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks]
+        return masks[0] if BITS % self.n == 0 else F.element_at(F.array(*masks), start + 1)
 
-    def rotated(self, value: Column, start: Column) -> Column:
-        """The bits of value from the first segment on, at the bottom."""
-        by = F.element_at(F.array(*map(F.lit, self.offsets)), start + 1)
+    def rotated(self, value: Column, start: Column, back: bool = False) -> Column:
+        """The bits of value from the first segment on, at the bottom; back undoes that."""
+        by = F.element_at(F.array(*[F.lit((BITS - o) % BITS if back else o) for o in self.offsets]), start + 1)
         return F.call_function("shiftrightunsigned", value, by).bitwiseOR(F.when(by == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", value, 64 - by)))
 
     def changes(self, start: int, length: int, most: int) -> list[int]:
@@ -116,47 +118,57 @@ class Ring:
     def key(self, start: Column, length: int) -> Column:
         return F.call_function("shiftleft", start.cast("long"), F.lit(START)).bitwiseOR(self.rotated(F.col("fp"), start).bitwiseAND(self.mask(start, length)).bitwiseXOR(F.col("changed")))
 
-    def viable(self, a: Column, b: Column, start: Column) -> Column:
-        """Every chain from start is within its budget; the longest is the whole fingerprint."""
-        differ, test = self.rotated(a.bitwiseXOR(b), start), F.lit(True)
-        for length in range(1, self.n + 1):
+    def viable(self, differ: Column, start: Column) -> Column:
+        """differ: the bits in which two rotated values differ. Every chain from start is within its budget; the longest is the whole fingerprint."""
+        test = F.lit(True)
+        for length in range(2, self.n + 1):
             test = test & (F.bit_count(differ.bitwiseAND(self.mask(start, length))) <= self.budget(length))
         return test
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
+def _start(key: Column) -> Column:
+    return F.shiftrightunsigned(key, START).cast("int")
+
+
+def links(distinct: DataFrame, distance: int = DISTANCE, crowd: int = CROWD, apart: bool = False) -> DataFrame:
     """u, v: pairs of the distinct values fp (signed longs) that differ in at most distance bits, each pair at least once.
 
-    distinct must be a written table or cheap to compute: it is read for each side of the join.
+    distinct must be a written table or cheap to compute: it is read for each side of the join. apart: rows have node and root as
+    well, values may repeat, and u, v are the nodes of rows with different roots; others are left out inside the join.
     """
-    ring = Ring(distance)
+    ring, own = Ring(distance), ["node", "root"] if apart else []
     starts = [(s << START) | c for s in range(ring.n) for c in ring.changes(s, 2, ring.budget(2))]
     zero = F.lit(0).cast("long")
-    index = distinct.select("fp", F.explode(F.lit(list(range(ring.n)))).alias("start"), zero.alias("changed"))
-    query = distinct.select("fp", F.explode(F.lit(starts)).alias("packed"))
-    query = query.select("fp", F.shiftright("packed", START).cast("int").alias("start"), F.col("packed").bitwiseAND((1 << START) - 1).alias("changed"))
+    index = distinct.select("fp", *own, F.explode(F.lit(list(range(ring.n)))).alias("start"), zero.alias("changed"))
+    query = distinct.select("fp", *own, F.explode(F.lit(starts)).alias("packed"))
+    query = query.select("fp", *own, F.shiftright("packed", START).cast("int").alias("start"), F.col("packed").bitwiseAND((1 << START) - 1).alias("changed"))
     found = None
     for length in range(2, ring.n):
-        index = index.select("fp", "start", "changed", ring.key(F.col("start"), length).alias("key"))
-        query = query.select("fp", "start", "changed", ring.key(F.col("start"), length).alias("key"))
+        index = index.select("fp", *own, "start", "changed", ring.key(F.col("start"), length).alias("key"))
+        query = query.select("fp", *own, "start", "changed", ring.key(F.col("start"), length).alias("key"))
         crowded = None
         if length < ring.n - 1:
             crowded = materialize(index.groupBy("key").count().filter(F.col("count") > crowd).select("key"), "simhash-crowded")
             if crowded.isEmpty():
                 crowded = None
         rare_i, rare_q = (index, query) if crowded is None else (index.join(crowded, "key", "left_anti"), query.join(crowded, "key", "left_anti"))
-        q, x = rare_q.select("key", F.col("fp").alias("u")), rare_i.select("key", F.col("fp").alias("v"))
-        start = F.shiftrightunsigned(q["key"], START).cast("int")
-        pairs = q.join(x, (q["key"] == x["key"]) & (q["u"] < x["v"]) & ring.viable(q["u"], x["v"], start)).select("u", "v")
+        side = lambda rare, mark: rare.select(*[c.alias(n + mark) for n, c in (("key", F.col("key")), ("turned", ring.rotated(F.col("fp"), F.col("start"))), *((o, F.col(o)) for o in own))])
+        start, turned = _start(F.col("key_q")), (F.col("turned_q"), F.col("turned_x"))
+        first = turned[0] < turned[1]
+        if apart:
+            first = (F.col("root_q") != F.col("root_x")) & (first | (turned[0] == turned[1]) & (F.col("node_q") < F.col("node_x")))
+        pairs = side(rare_q, "_q").join(side(rare_i, "_x"), (F.col("key_q") == F.col("key_x")) & first & ring.viable(turned[0].bitwiseXOR(turned[1]), start))
+        u, v = (F.col("node_q"), F.col("node_x")) if apart else (ring.rotated(t, start, back=True) for t in turned)
+        pairs = pairs.select(u.alias("u"), v.alias("v"))
         found = pairs if found is None else found.unionByName(pairs)
         if crowded is None:
             break
         more = length + 1
         sets = [F.lit(ring.changes(s, more, most)) for s in range(ring.n) for most in range(ring.budget(more) + 1)]
         left = F.lit(ring.budget(more)) - F.bit_count("changed")
-        index = index.join(crowded, "key", "left_semi").select("fp", "start", "changed")
-        query = query.join(crowded, "key", "left_semi").select("fp", "start", "changed", F.explode(F.element_at(F.array(*sets), (F.col("start") * (ring.budget(more) + 1) + left + 1).cast("int"))).alias("next"))
-        query = query.select("fp", "start", F.col("changed").bitwiseOR(F.col("next")).alias("changed"))
+        index = index.join(crowded, "key", "left_semi").select("fp", *own, "start", "changed")
+        query = query.join(crowded, "key", "left_semi").select("fp", *own, "start", "changed", F.explode(F.element_at(F.array(*sets), (F.col("start") * (ring.budget(more) + 1) + left + 1).cast("int"))).alias("next"))
+        query = query.select("fp", *own, "start", F.col("changed").bitwiseOR(F.col("next")).alias("changed"))
     return found
 
 
@@ -224,27 +236,28 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "key binary, shingles array<long>")
 
 
-def _candidates(nodes: DataFrame, similarity: float, distance: int, rings: int, crowd: int) -> DataFrame:
-    """a < b: nodes within distance bits of each other in some ring, and of sizes that allow the similarity."""
-    found = None
-    for ring in range(rings):
-        one = materialize(nodes.select("node", "n", F.col("fps")[ring].alias("fp")), "near-ring")
-        met = links(one.select("fp").distinct(), distance, crowd).distinct()
-        same = one.groupBy("fp").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.col("fp").alias("u"), F.col("fp").alias("v"))
-        left, right = (one.select(F.col("fp").alias(fp), F.col("node").alias(node), F.col("n").alias(size)) for fp, node, size in (("u", "a", "n_a"), ("v", "b", "n_b")))
-        pairs = met.unionByName(same).join(left, "u").join(right, "v").filter((F.col("u") != F.col("v")) | (F.col("a") < F.col("b")))
-        pairs = pairs.filter(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = materialize(pairs, "near-pairs")
-        release(one)
-        found = pairs if found is None else found.unionByName(pairs)
-    return materialize(found.distinct(), "near-candidates")
+def _picks(one: DataFrame, distance: int, similarity: float) -> DataFrame:
+    """a, b: of the nodes that share a key of two segments, each with the first of them, if the chains allow it. one: node, fp, n."""
+    ring = Ring(distance)
+    index = one.select("node", "fp", "n", F.explode(F.lit(list(range(ring.n)))).alias("start"), F.lit(0).cast("long").alias("changed")).select("node", "fp", "n", ring.key(F.col("start"), 2).alias("key"))
+    first = index.groupBy("key").agg(F.min(F.struct("node", "fp", "n")).alias("f"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", "f")
+    start = _start(F.col("key"))
+    near = ring.viable(ring.rotated(F.col("fp").bitwiseXOR(F.col("f.fp")), start), start) & (F.least("n", "f.n") >= similarity * F.greatest("n", "f.n"))
+    return index.join(first, "key").filter((F.col("node") != F.col("f.node")) & near).select(F.col("node").alias("a"), F.col("f.node").alias("b"))
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """u, v: the pairs whose shingle sets have that Jaccard similarity or more."""
-    left, right = (sets.select(F.col("node").alias(node), F.col("shingles").alias(held)) for node, held in (("a", "of_a"), ("b", "of_b")))
+def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """u, v: the pairs a, b of nodes whose shingle sets have that Jaccard similarity or more. Only the texts of these nodes are read."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    held = materialize(nodes.join(ends, "node", "left_semi").select("node", "key", F.col("least").alias("who")), "near-held")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(held.select("who").distinct(), F.col("doc_id").eqNullSafe(F.col("who")), "left_semi")
+    sets = materialize(_sets(texts.select("text"), width).join(held.select("key", "node"), "key").dropDuplicates(["node"]).select("node", "shingles"), "near-sets")
+    left, right = (sets.select(F.col("node").alias(node), F.col("shingles").alias(of)) for node, of in (("a", "of_a"), ("b", "of_b")))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("common"), (F.size("of_a") + F.size("of_b")).alias("both"))
-    return met.filter(F.col("common") >= similarity * (F.col("both") - F.col("common"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    out = materialize(met.filter(F.col("common") >= similarity * (F.col("both") - F.col("common"))).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-ties")
+    release(sets)
+    return out
 
 
 def similar_classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, distance: int = NEAR, rings: int = RINGS, crowd: int = CROWD) -> DataFrame:
@@ -253,23 +266,22 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     Two texts link if the Jaccard similarity of their sets of width-word shingles (A-Z in lower case; of fewer words the whole
     sequence is the one shingle) is at least `similarity` and the 64-bit fingerprints of the sets differ in at most `distance`
     bits in one of `rings` independent rings. Rings find candidates, pigeonring filtering prunes them, the sets decide.
-    A first pick for each text ties most of a group; other pairs are compared only if the picks leave them apart, so large groups
-    of near copies cost about one comparison a text. Equal word sequences are one node; null, empty and blank texts are equal.
+    First each text meets one other of each of its keys, which ties large groups of near copies at the cost of a few pairs a text;
+    then all pairs of texts that are still apart are looked for, and no others, so no link is lost and no group emits its pairs.
+    Equal word sequences are one node; null, empty and blank texts are equal.
     """
     rows = materialize(_sketches(docs, width, rings).withColumn("rid", F.monotonically_increasing_id()), "near-rows")
     nodes = materialize(rows.groupBy("key").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fps").alias("fps")), "near-nodes")
-    pairs = _candidates(nodes, similarity, distance, rings, crowd)
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    held = materialize(nodes.join(ends, "node", "left_semi").select("node", "key", F.col("least").alias("who")), "near-held")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(held.select("who").distinct(), F.col("doc_id").eqNullSafe(F.col("who")), "left_semi")
-    sets = materialize(_sets(texts.select("text"), width).join(held.select("key", "node"), "key").dropDuplicates(["node"]).select("node", "shingles"), "near-sets")
-    picks = pairs.groupBy("a").agg(F.min("b").alias("b")).unionByName(pairs.groupBy("b").agg(F.min("a").alias("a"))).distinct()
-    tied = materialize(_similar(picks, sets, similarity), "near-ties")
+    ringed = lambda found: [found(nodes.select("node", "n", F.col("fps")[ring].alias("fp"))) for ring in range(rings)]
+    picks = materialize(reduce(DataFrame.unionByName, ringed(lambda one: _picks(one, distance, similarity))).distinct(), "near-picks")
+    tied = _similar(picks, nodes, docs, width, similarity)
     roots = materialize(connected_components(tied), "near-roots")
-    apart = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b", "left")
-    apart = apart.filter(~F.coalesce(F.col("root_a") == F.col("root_b"), F.lit(False))).select("a", "b")
-    more = materialize(_similar(apart, sets, similarity), "near-ties")
+    rooted = materialize(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-nodes")
+    sizes = lambda node, size: rooted.select(F.col("node").alias(node), F.col("n").alias(size))
+    apart = [materialize(links(rooted.select("node", "root", F.col("fps")[ring].alias("fp")), distance, crowd, apart=True).distinct(), "near-apart") for ring in range(rings)]
+    apart = reduce(DataFrame.unionByName, apart).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    apart = apart.join(sizes("a", "n_a"), "a").join(sizes("b", "n_b"), "b").filter(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
+    more = _similar(materialize(apart.select("a", "b"), "near-apart"), rooted, docs, width, similarity)
     roots = materialize(connected_components(tied.unionByName(more)), "near-roots")
     tied = nodes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     return rows.join(tied, "key").select("doc_id", "key", "root")
