@@ -53,10 +53,12 @@ def banded(tiles: DataFrame, width: int, off_diagonal: int = 0) -> DataFrame:
     return tiles.filter(band_condition(F.col("r"), F.col("c"), width, off_diagonal))
 
 
-def transposed(tiles: DataFrame) -> DataFrame:
-    """Descriptors with rows and columns exchanged; other columns stay."""
+def transposed(tiles: DataFrame, data: str = "data") -> DataFrame:
+    """Tiles with rows and columns exchanged, in the descriptors and, where there is row-major data, in the block; other columns stay."""
     names = {"r": "c", "c": "r", "row_off": "col_off", "col_off": "row_off", "n_rows": "n_cols", "n_cols": "n_rows"}
-    return tiles.select(*[F.col(names.get(x, x)).alias(x) for x in tiles.columns])
+    rows, cols = F.col("n_rows").cast("int"), F.col("n_cols").cast("int")
+    block = F.transform(data, lambda x, k: F.get(F.col(data), (k % rows) * cols + F.floor(k / rows).cast("int")))
+    return tiles.select(*[block.alias(x) if x == data else F.col(names.get(x, x)).alias(x) for x in tiles.columns])
 
 
 def merged(a: DataFrame, b: DataFrame) -> DataFrame:

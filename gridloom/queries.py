@@ -399,6 +399,19 @@ def tile_round_trip(spark, sf_dir):
     return cells.filter("value <> 0").select("row_id", "col_id", rounded("value", 2).alias("value"))
 
 
+@query(f"WITH {C_SQL} SELECT col_id AS row_id, row_id AS col_id, round(value, 2) + 0.0 AS value FROM c WHERE value <> 0")
+def tile_transpose_cells(spark, sf_dir):
+    cells = L.cells_of(L.transposed(L.tiles_of(supplier_cells(spark, sf_dir), 16, 5)))
+    return cells.filter("value <> 0").select("row_id", "col_id", rounded("value", 2).alias("value"))
+
+
+@query(f"WITH {E_SQL}, g AS (SELECT a.row_id, b.row_id AS col_id, sum(a.value * b.value) AS value FROM e a JOIN e b ON a.col_id = b.col_id WHERE a.row_id < 70 AND b.row_id < 70 GROUP BY 1, 2) SELECT row_id, col_id, round(value, 6) + 0.0 AS value FROM g")
+def tile_reflect_cells(spark, sf_dir):
+    """The product of 70 rows with themselves, from the tiles on and above the diagonal."""
+    upper = P.reflected(P.all_pairs(embeddings(spark, sf_dir).filter("row_id < 70"))).filter("floor(row_id / 10) <= floor(col_id / 10)")
+    return L.cells_of(L.reflected_diagonally(L.tiles_of(upper, 10, 10))).select("row_id", "col_id", rounded("value").alias("value"))
+
+
 @query(f"WITH {C_SQL} SELECT min(row_id) AS row_off, max(row_id) - min(row_id) + 1 AS n_rows, min(col_id) AS col_off, max(col_id) - min(col_id) + 1 AS n_cols FROM c WHERE value <> 0")
 def cell_bounds(spark, sf_dir):
     return bounds(supplier_cells(spark, sf_dir))
@@ -425,7 +438,11 @@ def numeric_prefix(spark, sf_dir):
 
 def _scratch(spark: SparkSession) -> str:
     """A new folder under the one that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="gridloom-")
     return f"{root.rstrip('/')}/matrix-{uuid.uuid4().hex}"
 
 
@@ -446,9 +463,12 @@ def exp_roundtrip(spark, sf_dir):
     return _round_trip(spark, sf_dir, ".exp", True)
 
 
-@query()
+@query("SELECT 12000 AS n, true AS inside, true AS same, true AS centred, true AS spread")
 def random_matrix_uniform(spark, sf_dir):
-    return random_matrix(spark, 300, 40)
+    """What must hold of the values of 300 x 40 cells: their number, bounds, mean, and that another partitioning gives the same."""
+    cells, again = to_long(random_matrix(spark, 300, 40)), to_long(random_matrix(spark, 300, 40).repartition(5)).withColumnRenamed("value", "again")
+    inside = F.min((F.col("value") >= 0) & (F.col("value") < 1))
+    return cells.join(again, ["row_id", "col_id"]).agg(F.count(F.lit(1)).alias("n"), inside.alias("inside"), F.min(F.col("value") == F.col("again")).alias("same"), (F.abs(F.avg("value") - 0.5) < 0.01).alias("centred"), (F.count_distinct("value") > 11_000).alias("spread"))
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, user_id AS row_id, count(value) AS n, round(avg(value), 6) + 0.0 AS mean, round(coalesce(stddev_samp(value), 0.0), 6) + 0.0 AS stdev FROM events GROUP BY 1, 2")

@@ -32,6 +32,12 @@ def test_exp_rules(spark, tmp_path):
     path.write_text("Id\tAlias\ta\tb\n\nempty\nempty\ng0\t---\t1\t2\ng1\tx\t\t4\n")
     assert read(spark, path, skip=True) == (["a", "b"], [("g0", [1, 2]), ("g1", [0, 4])])
     assert len(read(spark, path)[1]) == 4
+    path.write_text("Id\tAlias\ta\tb\n\nempty\n\ng0\t---\t1\t0x1p3\ng1\tx\t1e400\t4\n")
+    assert read(spark, path, skip=True)[1] == [("g0", [1, 0]), ("g1", [1e308, 4])]
+    path.write_bytes(b"Id\tAlias\ta\rg0\t---\t1\rg1\t---\t2\r")
+    assert read(spark, path) == (["a"], [("g0", [1]), ("g1", [2])])
+    m = read_matrix(spark, str(path))
+    assert "Exchange hashpartitioning" not in m.rows._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")).split("BroadcastExchange")[0]
 
 
 @pytest.mark.parametrize("name", ["m.csv", "m.exp"])
