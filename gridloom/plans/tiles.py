@@ -58,7 +58,9 @@ def transposed(tiles: DataFrame, data: str = "data") -> DataFrame:
     names = {"r": "c", "c": "r", "row_off": "col_off", "col_off": "row_off", "n_rows": "n_cols", "n_cols": "n_rows"}
     rows, cols = F.col("n_rows").cast("int"), F.col("n_cols").cast("int")
     block = F.transform(data, lambda x, k: F.get(F.col(data), (k % rows) * cols + F.floor(k / rows).cast("int")))
-    return tiles.select(*[block.alias(x) if x == data else F.col(names.get(x, x)).alias(x) for x in tiles.columns])
+    # In one select, the lambda would see the exchanged n_rows and n_cols: names of a select's own list reach into lambdas.
+    turned = tiles.withColumn("_turned", block) if data in tiles.columns else tiles
+    return turned.select(*[F.col("_turned" if x == data else names.get(x, x)).alias(x) for x in tiles.columns])
 
 
 def merged(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -105,3 +105,14 @@ def test_tiles(spark):
     tiles = L.tiles_of(M.to_long(wide(spark, a)), 2, 3)
     assert tiles.count() == 9 and (dense(L.cells_of(tiles).filter("value <> 0"), (5, 7)) == a).all()
     assert [r["row_off"] for r in L.by_offsets(L.fixed_grid(spark, 5, 7, 2, 3)).collect()] == [0] * 3 + [2] * 3 + [4] * 3
+
+
+def test_blocks_are_exchanged_with_their_tiles(spark):
+    cells = spark.createDataFrame([(r, c, float(10 * r + c)) for r in range(5) for c in range(7)], "row_id long, col_id long, value double")
+    tiles = L.tiles_of(cells, 2, 3)
+    got = {(x["row_id"], x["col_id"]): x["value"] for x in L.cells_of(L.transposed(tiles)).collect()}
+    assert {k: v for k, v in got.items() if k[0] < 7 and k[1] < 5} == {(c, r): 10.0 * r + c for r in range(5) for c in range(7)}
+    assert [*tiles.columns] == L.transposed(tiles).columns
+    back = L.transposed(L.transposed(tiles))
+    key = ["r", "c"]
+    assert back.orderBy(key).collect() == tiles.orderBy(key).collect()
