@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH, SEGMENTS, POOL = 4096, 1024, 1024
+#: Instruction data: pieces and loss-bearing tokens of a sequence.
+ANSWERS, ANSWER_LOSS = 64, 3072
 #: Rows that are cut into pieces together.
 CHUNK = 256
 #: Sequences of one task are numbered from its partition's number times this.
@@ -68,9 +70,12 @@ class Packer:
         self.tokens = 0
 
     def add(self, item: Item):
-        while item.length >= self.length and item.loss <= self.loss:
-            whole, item = item.cut(self.length)
+        while item.length >= self.length:
+            whole, rest = item.cut(self.length)
+            if whole.loss > self.loss:
+                break
             yield [whole]
+            item = rest
         if item.length:
             self._wait(item)
         while len(self.pool) > self.pool_size or self.tokens > self.pool_size * self.length:
@@ -273,10 +278,11 @@ def word_ids(path: str) -> WordIds:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def packed_documents(docs: DataFrame, path: str, end_id: int = 2, length: int = LENGTH, segments: int = SEGMENTS, loss: int | None = None, pool_size: int = POOL, with_ids: bool = False) -> DataFrame:
+def packed_documents(docs: DataFrame, path: str, end_id: int = 2, length: int = LENGTH, segments: int = SEGMENTS, loss: int | None = None, pool_size: int = POOL, with_ids: bool = False, prompt: str | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids) for each piece of each row of docs.
 
-    Every token of a document bears loss. Null counts as empty; an empty text is its end id alone. Each
+    prompt: a column of texts that come before `text`, are packed with it and bear no loss (null: none); without it every
+    token of a document bears loss. At most `loss` loss-bearing tokens and `segments` pieces go into a sequence. Null counts as empty; an empty text is its end id alone. Each
     id of a row is in exactly one piece, rows that repeat are packed each; a row without doc_id keeps null.
     Columns besides doc_id and text aren't read. An empty table gives an empty result.
     """
@@ -304,9 +310,10 @@ def packed_documents(docs: DataFrame, path: str, end_id: int = 2, length: int =
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
                 some = batch.slice(at, CHUNK)
-                for doc, ids in zip(some.column("doc_id").to_pylist(), words.ids(some.column("text").to_pylist()), strict=True):
-                    ids += end
-                    for sequence in packer.add(Item((doc, ids), 0, len(ids) // 4)):
+                heads = [b""] * some.num_rows if prompt is None else words.ids(some.column("prompt").to_pylist())
+                for doc, head, ids in zip(some.column("doc_id").to_pylist(), heads, words.ids(some.column("text").to_pylist()), strict=True):
+                    ids = head + ids + end
+                    for sequence in packer.add(Item((doc, ids), 0, len(ids) // 4, len(head) // 4)):
                         written(sequence)
                 if len(rows) >= 5000:
                     yield flushed()
@@ -314,6 +321,19 @@ def packed_documents(docs: DataFrame, path: str, end_id: int = 2, length: int =
             written(sequence)
         yield flushed()
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    before = F.lit(None) if prompt is None else F.col(prompt)
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), before.cast("string").alias("prompt"))
     out = chosen.mapInArrow(run, PIECES)
     return out if with_ids else out.drop("ids")
+
+
+def packed_answers(conversations: DataFrame, path: str, segments: int = ANSWERS, loss: int = ANSWER_LOSS, **options) -> DataFrame:
+    """packed_documents() of instruction data: each assistant turn is an example that bears loss, after the turn before it as its prompt.
+
+    conversations: conv_id, turn, role, text, a row for each turn; doc_id of the pieces is conv_id * 1024 + the turn's place. A sequence
+    holds at most `segments` pieces and `loss` loss-bearing tokens. Null texts are empty; a conversation without assistant gives nothing.
+    """
+    turns = F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
+    talks = conversations.groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", F.posexplode("turns").alias("at", "t"), "turns")
+    rows = talks.filter(F.col("t.role") == "assistant").select((F.col("conv_id") * 1024 + F.col("at")).alias("doc_id"), F.col("t.text").alias("text"), F.get("turns", F.col("at") - 1)["text"].alias("prompt"))
+    return packed_documents(rows, path, segments=segments, loss=loss, prompt="prompt", **options)

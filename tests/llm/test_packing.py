@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from gridloom.llm.packing import Item, Packer, packed_documents, word_ids
+from gridloom.llm.packing import Item, Packer, packed_answers, packed_documents, word_ids
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -82,3 +82,43 @@ def test_ids_are_the_tokeniser_s(texts):
     want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     words = word_ids(PATH)
     assert words.ids(texts) == want and words.ids(texts) == want
+
+
+def first_fit(items, length, segments, loss):
+    """Sequences opened by taking each item, cut at the length and the loss, into the first that has room."""
+    bins = []
+    for item in items:
+        while item.length:
+            head, tail = item.cut(min(item.length, length, max(0, item.loss_from - item.start) + loss))
+            for b in bins:
+                if b[0] + head.length <= length and b[1] < segments and b[2] + head.loss <= loss:
+                    break
+            else:
+                bins.append(b := [0, 0, 0])
+            b[0], b[1], b[2], item = b[0] + head.length, b[1] + 1, b[2] + head.loss, tail
+    return len(bins)
+
+
+def test_all_limits_bind_on_instruction_data(spark):
+    conversations = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    limits = {"length": 256, "segments": 6, "loss": 128}
+    got = packed_answers(conversations, PATH, with_ids=True, **limits).collect()
+    tokenizer = Tokenizer.from_file(PATH)
+    tokenizer.encode_special_tokens = True
+    count = lambda text: len(tokenizer.encode(text or "", add_special_tokens=False).ids)
+    talks = defaultdict(list)
+    for r in sorted(conversations.collect(), key=lambda r: (r.conv_id, r.turn, r.role or "", r.text or "")):
+        talks[r.conv_id].append(r)
+    heads = {c * 1024 + k: (count(t[k - 1].text) if k else 0, count(t[k].text) + 1) for c, t in talks.items() for k in range(len(t)) if t[k].role == "assistant"}
+    sequences, held = defaultdict(list), defaultdict(int)
+    for r in got:
+        head, own = heads[r.doc_id]
+        assert r.doc_tokens == head + own
+        held[r.doc_id] += r.length
+        sequences[r.sequence_id].append((r.length, max(0, r.start + r.length - max(r.start, head))))
+    assert held == {i: sum(n) for i, n in heads.items()}
+    sizes = [(sum(n for n, _ in s), len(s), sum(x for _, x in s)) for s in sequences.values()]
+    assert all(n <= 256 and k <= 6 and x <= 128 for n, k, x in sizes)
+    assert any(k == 6 for _, k, _ in sizes) or any(x == 128 and n < 256 for n, _, x in sizes)
+    padding = sum((256 if n & (n - 1) else n) - n for n, *_ in sizes)
+    assert padding == 0 and len(sequences) < 2 * first_fit([Item(i, 0, sum(n), n[0]) for i, n in heads.items()], **limits) + 20
