@@ -9,6 +9,7 @@ of is left at once, and so is each start whose longest window does. Of overlappi
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -118,10 +119,12 @@ class Scanner:
                             found.append((2 * common / (size + n), int(start), int(end) + 2, name))
         if not found:
             return []
-        kept, taken = [], []
+        kept, starts, ends = [], [], []  # what is taken, in order; none of it overlaps, so only the last that starts before b can
         for score, a, b, name in sorted(found, key=lambda x: (-x[0], x[1] - x[2], x[1], x[3])):
-            if all(b <= c or a >= d for c, d in taken):
-                taken.append((a, b))
+            k = bisect_left(starts, b)
+            if k == 0 or ends[k - 1] <= a:
+                starts.insert(k, a)
+                ends.insert(k, b)
                 kept.append((a, b, name, score))
         places = [m.span() for m in WORD.finditer(text.lower())] if len(text.lower()) == len(text) else _places(text)
         return [(places[a][0], places[b - 1][1], name, score) for a, b, name, score in sorted(kept)]

@@ -66,3 +66,16 @@ def test_siblings_and_whole_texts(spark):
     assert all(got[i].n_matches == 1 and got[i].best == 1.0 and got[i].licences.removesuffix("-long").removesuffix("-short") == name for i, name in enumerate(names)), got
     scanner = Scanner(TEMPLATES | MORE)
     assert all([n for *_, n, _ in scanner.scan(t)] == [name] for name, t in (TEMPLATES | MORE).items())
+
+
+def test_many_notices_take_time_in_proportion():
+    """Each of thousands of notices is found, and the choice among overlapping matches isn't quadratic in them."""
+    import time
+
+    scanner, notice = Scanner(TEMPLATES), "Released under the MIT License. Some other words here. "
+    times = []
+    for n in (500, 4000):
+        began = time.process_time()
+        assert [x[2] for x in scanner.scan(notice * n)] == ["mit"] * n
+        times.append(time.process_time() - began)
+    assert times[1] < 24 * max(times[0], 0.02)
