@@ -30,7 +30,7 @@ from gridloom.llm.common import materialize
 
 #: Labelled rows to learn from, at most so many of each label.
 SAMPLE_TOXIC, SAMPLE_OTHER = 6_000, 18_000
-#: Lengths of beginnings; toxic texts that must show one; how many times the rate of other texts that must be; times each toxic text is to be explained; entries at most.
+#: Parameters of the model. Lengths of beginnings (a longer word is an entry by its first letters); toxic texts that must show one; how many times the rate of other texts that must be; times each toxic text is to be explained; entries at most.
 SHORTEST, LONGEST, SUPPORT, RATIO, COVER, ENTRIES = 4, 8, 3, 10, 3, 1000
 THRESHOLD = 0.3
 
@@ -170,13 +170,20 @@ def _chosen(shown: list[set[str]], candidates: dict[str, tuple[int, int]], cost:
 
 
 def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (), toxic_rows: int = SAMPLE_TOXIC, other_rows: int = SAMPLE_OTHER) -> Lexicon:
-    """Learns from labelled rows; labels: doc_id, toxic (rows with another label than 0 and 1 are left out). Without toxic rows the lexicon is empty and all scores are low."""
-    known = labels.filter("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("long").alias("toxic")).dropDuplicates(["_id"])
+    """Learns from labelled rows; labels: doc_id, toxic. Without toxic rows the lexicon is empty and all scores are low.
+
+    Rows with another label than 0 and 1 are left out, and so are ids with both labels; of documents that share an id the least text
+    counts. The model is fitted on a sample and is bounded in every part: at most toxic_rows and other_rows labelled rows; 20 * ENTRIES
+    candidates, those that most toxic texts show; ENTRIES entries; ENTRIES exceptions, those that most other texts show.
+    Scores are then computed for all rows from whole texts.
+    """
+    known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("toxic").cast("long").alias("toxic"), F.max("toxic").alias("most"))
+    known = known.filter("toxic = most").select("_id", "toxic")
     some = lambda toxic, most: known.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("_id"), "_id").limit(most)
     # At most toxic_rows + other_rows pairs of an id and a label: they go to the texts, not the texts to them.
     known = F.broadcast(materialize(some(1, toxic_rows).unionByName(some(0, other_rows)), "toxicity-labels"))
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(known, F.col("doc_id") == F.col("_id")).select("text", "toxic")
-    sample = materialize(sample, "toxicity-sample")
+    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(known, F.col("doc_id") == F.col("_id"))
+    sample = materialize(sample.groupBy("_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic"), "toxicity-sample")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_toxic, n_other = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic:
@@ -203,7 +210,7 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (),
         yield pa.RecordBatch.from_arrays([pa.array([w for (w, _), _ in rows], pa.string()), pa.array([t for (_, t), _ in rows], pa.int64()), pa.array([n for _, n in rows], pa.int64())], ["word", "toxic", "n"])
 
     met = sample.mapInArrow(whole_words, "word string, toxic long, n long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("other"))
-    lexicon.exceptions += [r["word"] for r in met.filter((F.length("word") <= 64) & (F.col("other") >= 2) & (F.col("other") * n_toxic >= F.col("toxic") * n_other)).orderBy(F.desc("other"), "word").limit(ENTRIES).collect()]
+    lexicon.exceptions += [r["word"] for r in met.filter((F.col("other") >= 2) & (F.col("other") * n_toxic >= F.col("toxic") * n_other)).orderBy(F.desc("other"), "word").limit(ENTRIES).collect()]
 
     def measured(batches):
         for batch in batches:

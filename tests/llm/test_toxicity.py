@@ -1,9 +1,12 @@
 """Toxicity: folding, exceptions, and held-out accuracy."""
 
+import math
 import random
 import zlib
 
-from gridloom.llm.toxicity import Lexicon, fold, toxicity
+import pytest
+
+from gridloom.llm.toxicity import Lexicon, fold, learn, toxicity
 
 SCHEMA = "doc_id long, text string, score double, toxic int"
 
@@ -52,3 +55,40 @@ def test_without_labels_or_rows(spark):
     docs, none = spark.createDataFrame([(1, "a loser", 0.0, 0)], SCHEMA), spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.predicted for r in toxicity(docs, none).collect()] == [0]
     assert toxicity(docs.limit(0), none).count() == 0
+
+
+def plain_features(lexicon, text):
+    """features() by plain search: every word against every entry, every place against every exception."""
+    kept, bare = fold(text)
+    total, hit = 0.0, set()
+    if not kept or not (lexicon.weights or lexicon.exceptions):
+        return [0.0, 0.0, 0.0]
+    for folded in (kept + " ", bare + " "):
+        void = [(at, at + len(p)) for p in (fold(e)[0] for e in lexicon.exceptions) if p for at in range(len(folded)) if folded.startswith(p + " ", at)]
+        for at, c in enumerate(folded[:-1]):
+            word = folded[at + 1 :].split(" ")[0]
+            worth = [w for e, w in lexicon.weights.items() if word.startswith(e)] if c == " " else []
+            if worth and not any(a <= at < b for a, b in void):
+                total += max(worth)
+                hit.add(word)
+    return [math.log1p(x) for x in (total, 100 * total / kept.count(" "), len(hit))]
+
+
+def test_the_matcher_against_plain_search():
+    rng = random.Random(9)
+    word = lambda a=1, b=6: "".join(rng.choice("abcé0") for _ in range(rng.randrange(a, b)))
+    for _ in range(150):
+        lexicon = Lexicon({word(2, 5).replace("0", "o").replace("é", "e"): rng.random() + 0.1 for _ in range(6)}, [" ".join(word() for _ in range(rng.randrange(1, 4))) for _ in range(4)])
+        for _ in range(6):
+            text = " ".join(rng.choice([word(), word(), rng.choice(lexicon.exceptions), rng.choice([*lexicon.weights]) + word()]) for _ in range(rng.randrange(0, 25)))
+            assert lexicon.features(text) == pytest.approx(plain_features(lexicon, text))
+
+
+def test_conflicting_labels_and_repeated_ids(spark):
+    docs = [(i, "vile creature gone" if i < 40 else f"plain words number {i}") for i in range(200)]
+    docs = docs + [(3, "aaa another text of that id")] * 50
+    labels = [(i, int(i < 40)) for i in range(200)] + [(5, 0), (60, 1), (7, 1), (8, None)]
+    frame = spark.createDataFrame([(i, t, 0.0, 1) for i, t in docs], SCHEMA)
+    same = learn(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    without = learn(spark.createDataFrame([(i, t, 0.0, 1) for i, t in dict(docs).items() if i not in (5, 60)], SCHEMA), spark.createDataFrame([x for x in labels if x[0] not in (5, 60)], "doc_id long, toxic int"))
+    assert same.weights == without.weights and same.model == pytest.approx(without.model)
