@@ -42,36 +42,37 @@ def rank_values(wide: DataFrame, first: int = 1, ascending: bool = True) -> Data
     return wide.mapInArrow(run, fields)
 
 
-def _fenwick(keys: np.ndarray, weights: np.ndarray, concordant: bool) -> np.ndarray:
-    """For each element the weight of earlier ones with a smaller (else a greater) key, ties left out."""
+def _earlier(keys: np.ndarray, weights: np.ndarray, concordant: bool) -> np.ndarray:
+    """For each element the weight of earlier ones with a smaller (else a greater) key, ties left out.
+
+    Blocks of 1, 2, 4, ... are merged in pairs, all pairs of a width at once: sorted by key, with the right half first among
+    equal keys, the running weight of a pair's left half is what its right half gains.
+    """
+    n, at = len(keys), np.arange(len(keys))
     distinct, place = np.unique(keys, return_inverse=True)
-    if not concordant:
-        place = len(distinct) - 1 - place
-    tree, out = [0.0] * (len(distinct) + 1), np.empty(len(keys))
-    for i, (p, w) in enumerate(zip(place.tolist(), weights.tolist(), strict=True)):
-        s, k = 0.0, p
-        while k > 0:
-            s += tree[k]
-            k &= k - 1
-        out[i] = s
-        k = p + 1
-        while k < len(tree):
-            tree[k] += w
-            k += k & -k
+    place = place if concordant else len(distinct) - 1 - place
+    out, width = np.zeros(n), 1
+    while width < n:
+        pair, right = at // (2 * width), at // width % 2 == 1
+        order = np.argsort((pair * len(distinct) + place) * 2 + ~right, kind="stable")
+        sums = np.concatenate([[0.0], np.cumsum(np.where(right, 0.0, weights)[order])])
+        gains = right[order]
+        out[order[gains]] += (sums[1:] - sums[2 * width * pair[order]])[gains]
+        width *= 2
     return out
 
 
 def earlier_sums(cells: DataFrame, keys: list[str], order: list[str], key: str, weight: str, concordant: bool = True) -> DataFrame:
     """keys, order, and `total`: for each element the weight of those before it (in order) with a strictly smaller key, or greater if not concordant.
 
-    n log n for each row by a tree of sums; a row is one vector and must fit in a task.
+    Array operations, about n (log n)^2 for each row; a row is one vector and must fit in a task.
     """
     types = dict(cells.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in [*keys, *order]) + ", total double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
-        return pdf[[*keys, *order]].assign(total=_fenwick(pdf[key].to_numpy(float), pdf[weight].to_numpy(float), concordant))
+        return pdf[[*keys, *order]].assign(total=_earlier(pdf[key].to_numpy(float), pdf[weight].to_numpy(float), concordant))
 
     return cells.groupBy(*keys).applyInPandas(run, schema)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -72,7 +74,7 @@ def read_hdf5_matrix(spark: SparkSession, path: str, rows: int = 0, cols: int =
 
 
 def write_hdf5_matrix(wide: DataFrame, columns: list[str], path: str, group: str = "array") -> None:
-    """One writer, the driver, takes the rows in order, a partition at a time."""
+    """One writer, the driver, takes the rows in order, a partition at a time, and writes RANGE of them at once: one HDF5 file has one writer."""
     h5py = _h5py()
     n, kind = wide.count(), h5py.string_dtype("utf-8")
     with h5py.File(path, "w") as file:
@@ -82,5 +84,8 @@ def write_hdf5_matrix(wide: DataFrame, columns: list[str], path: str, group: str
         for name in ("axis0", "block0_items"):
             top.create_dataset(name, data=columns, dtype=kind)
         labels, values = top.create_dataset("axis1", (n,), dtype=kind), top.create_dataset("block0_values", (n, len(columns)), dtype="f8")
-        for i, row in enumerate(wide.orderBy("row_id").toLocalIterator()):
-            labels[i], values[i] = row["row_name"], row["values"]
+        rows = wide.orderBy("row_id").toLocalIterator()
+        for at in range(0, n, RANGE):
+            some = [*islice(rows, RANGE)]
+            labels[at : at + len(some)] = [row["row_name"] for row in some]
+            values[at : at + len(some)] = [row["values"] for row in some]

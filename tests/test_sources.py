@@ -1,11 +1,14 @@
 """Text parsing rules, round trips, generators, the stream and the command line."""
 
+import sys
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom import cli
-from gridloom.sources import read_matrix, write_matrix
+from gridloom.sources import hdf5, read_matrix, write_matrix
 from gridloom.sources.random import normal, random_matrix, random_vector, uniform_int
 from gridloom.streaming import windowed_row_params
 
@@ -114,3 +117,50 @@ def test_command_line(spark, tmp_path):
         cli.main(["-r", "-n", "6"])
     with pytest.raises(SystemExit):
         cli.main(["-r", "-i", "x.csv"])
+
+
+class _File:
+    """What the reader and writer use of h5py, over one dict of files."""
+
+    files: dict = {}
+
+    def __init__(self, path, mode):
+        self.path = path
+        if mode == "w":
+            self.files[path] = {}
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        return None
+
+    def __getitem__(self, name):
+        return self.files[self.path][name]
+
+    def create_group(self, name):
+        class Group(dict):
+            attrs: dict = {}
+
+            def create_dataset(self, name, shape=None, data=None, dtype=None):
+                self[name] = np.array(data, object) if data is not None else np.zeros(shape, "f8" if dtype == "f8" else object)
+                return self[name]
+
+        self.files[self.path][name] = Group()
+        return self.files[self.path][name]
+
+
+def test_hdf5_logic_without_the_library(spark, monkeypatch):
+    """The writer's layout, and what each partition of the reader reads, with a stand-in for h5py."""
+    monkeypatch.setitem(sys.modules, "h5py", SimpleNamespace(File=_File, string_dtype=lambda _: object))
+    monkeypatch.setattr(hdf5, "RANGE", 4)
+    m = random_matrix(spark, 10, 3)
+    write_matrix(m.repartition(3), list("abc"), "m.h5")
+    group = _File.files["m.h5"]["array"]
+    assert [*group["axis0"]] == [*group["block0_items"]] == list("abc") and [*group["axis1"]] == [str(i) for i in range(10)]
+    want = [r["values"] for r in m.orderBy("row_id").collect()]
+    assert group["block0_values"].tolist() == want and group.attrs["pandas_type"] == "frame"
+    reader = hdf5._Reader({"path": "m.h5", "group": "array", "row_names": "axis1", "values": "block0_values", "rows": "9", "cols": "2"})
+    parts = reader.partitions()
+    assert [(p.first, p.last) for p in parts] == [(0, 4), (4, 8), (8, 9)]
+    assert [x for p in parts for x in reader.read(p)] == [(i, str(i), want[i][:2]) for i in range(9)]
