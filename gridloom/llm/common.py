@@ -53,6 +53,11 @@ def release(df: DataFrame) -> None:
         _written.remove(item)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Has Spark remove the shuffle files of jobs that are done: it does so once the JVM has collected what refers to them."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialize, release
+from gridloom.llm.common import drop_shuffles, materialize, release
 
 MOST_BITS, LEAST_BITS, WISHED_BITS, PROBES = 1 << 29, 8, 12, 4
 HEAD, PART = 100_000, 1 << 20
@@ -427,8 +427,10 @@ def lm_scores(docs: DataFrame, folds: int = 10, head: int = HEAD, chunk: int = C
     known = spark.sparkContext.broadcast({bytes(r["token"]): r["n"] for r in top})
     del top
     ranges = min(20, max(5, int(n // span).bit_length()))
+    drop_shuffles(spark)
     found = materialize(pieces(chosen, known, chunk), "lm-pieces")
-    levels = levelled(asking(found.filter("at = -1"), ranges))
+    levels = materialize(levelled(asking(found.filter("at = -1"), ranges)), "lm-levels")  # written, so that what was asked is dropped before the texts are shuffled
+    drop_shuffles(spark)
     rows = materialize(grams(found.select("chunk", "at", "doc_id", "held_out", "n_tokens", "met", "total", "places", "words"), levels), "lm-rows")
 
     def voting(batches):
@@ -453,6 +455,8 @@ def lm_scores(docs: DataFrame, folds: int = 10, head: int = HEAD, chunk: int = C
     rid = (F.shiftleft("chunk", 22) + F.col("at")).alias("rid")  # a run has at most PART + 1 texts, a chunk fewer than CHUNK + PART + 1
     tails = materialize(found.filter(F.size("tail") > 0).select(rid, "tail"), "lm-tails")
     release(found)
+    release(levels)
+    drop_shuffles(spark)
     scored = rows.mapInArrow(scoring, GRAMS.replace("codes array<int>, times array<int>", "score double")).select("*", rid)
     tail = tails.select("rid", F.explode("tail").alias("token")).join(vocabulary, "token", "left")
     tail = tail.groupBy("rid").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("more"), F.count("n").alias("also"))
