@@ -110,17 +110,23 @@ def near_rows():
     return rows
 
 
-def test_similar_classes(spark):
-    """Classes are tied by links of 0.8, all rows of a class reach each other, and (with a wide ring) none is lost."""
-    rows = near_rows()
-    sets = [shingles(t) for _, t in rows]
+def brute_similar(texts):
+    """The class of each text: tied by a Jaccard similarity of 0.8 or more of the sets of five-word shingles."""
+    sets = [shingles(t) for t in texts]
     similar = lambda a, b: a == b or bool(a and b) and len(a & b) >= 0.8 * len(a | b)
-    root = list(range(len(rows)))
-    for i in range(len(rows)):
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
         for j in range(i):
             if similar(sets[i], sets[j]):
                 a, b = root[i], root[j]
                 root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def test_similar_classes(spark):
+    """Classes are tied by links of 0.8, all rows of a class reach each other, and (with a wide ring) none is lost."""
+    rows = near_rows()
+    root = brute_similar([t for _, t in rows])
     groups = {}
     for (i, t), r in zip(rows, root):
         groups.setdefault(r, []).append(i)
