@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import fresh, materialize, named, release
+from gridloom.llm.common import drop_shuffles, fresh, materialize, named, release
 from gridloom.llm.components import connected_components
 
 BITS, DISTANCE, SEED, CROWD = 64, 4, 42, 1024
@@ -275,10 +275,13 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     ringed = lambda found: [found(nodes.select("node", "n", F.col("fps")[ring].alias("fp"))) for ring in range(rings)]
     picks = materialize(reduce(DataFrame.unionByName, ringed(lambda one: _picks(one, distance, similarity))).distinct(), "near-picks")
     tied = _similar(picks, nodes, docs, width, similarity)
+    release(picks)
     roots = materialize(connected_components(tied), "near-roots")
+    drop_shuffles(docs.sparkSession)
     rooted = materialize(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-nodes")
     sizes = lambda node, size: rooted.select(F.col("node").alias(node), F.col("n").alias(size))
     apart = [materialize(links(rooted.select("node", "root", F.col("fps")[ring].alias("fp")), distance, crowd, apart=True).distinct(), "near-apart") for ring in range(rings)]
+    drop_shuffles(docs.sparkSession)
     apart = reduce(DataFrame.unionByName, apart).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
     apart = apart.join(sizes("a", "n_a"), "a").join(sizes("b", "n_b"), "b").filter(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
     more = _similar(materialize(apart.select("a", "b"), "near-apart"), rooted, docs, width, similarity)
