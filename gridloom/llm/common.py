@@ -53,6 +53,12 @@ def release(df: DataFrame) -> None:
         _written.remove(item)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows for a join that shuffles both sides. Spark takes exploded rows for as large as the rows before, and stored rows for as large as their
+    files, however well those are compressed; it would broadcast a table many times its limit, through the driver's memory."""
+    return rows.hint("merge")
+
+
 def drop_shuffles(spark: SparkSession) -> None:
     """Has Spark remove the shuffle files of jobs that are done: it does so once the JVM has collected what refers to them."""
     spark.sparkContext._jvm.System.gc()

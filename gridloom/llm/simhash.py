@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import drop_shuffles, fresh, materialize, named, release
+from gridloom.llm.common import drop_shuffles, fresh, materialize, named, release, spread
 from gridloom.llm.components import connected_components
 
 BITS, DISTANCE, SEED, CROWD = 64, 4, 42, 1024
@@ -157,7 +157,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, crowd: int = CROWD, apa
         first = turned[0] < turned[1]
         if apart:
             first = (F.col("root_q") != F.col("root_x")) & (first | (turned[0] == turned[1]) & (F.col("node_q") < F.col("node_x")))
-        pairs = side(rare_q, "_q").join(side(rare_i, "_x"), (F.col("key_q") == F.col("key_x")) & first & ring.viable(turned[0].bitwiseXOR(turned[1]), start))
+        pairs = spread(side(rare_q, "_q")).join(side(rare_i, "_x"), (F.col("key_q") == F.col("key_x")) & first & ring.viable(turned[0].bitwiseXOR(turned[1]), start))
         u, v = (F.col("node_q"), F.col("node_x")) if apart else (ring.rotated(t, start, back=True) for t in turned)
         pairs = pairs.select(u.alias("u"), v.alias("v"))
         found = pairs if found is None else found.unionByName(pairs)

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from gridloom.llm.components import connected_components
 from gridloom.llm.exact_dedup import exact_dedup, keep_first
@@ -161,3 +162,16 @@ def test_components(spark):
             if a != b:
                 root[a] = root[b] = min(root[a], root[b])
     assert got == root
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("crowd", [1024, 2])
+def test_links_send_no_keys_through_the_driver(spark, tmp_path, crowd):
+    """The keys are many rows a fingerprint, which Spark's sizes leave out: broadcast, those of 0.6 GB don't fit the driver."""
+    spark.range(1000).select((F.col("id") * 16).alias("fp")).write.parquet(f"{tmp_path}/fps")
+    plan = planned(links(spark.read.parquet(f"{tmp_path}/fps"), crowd=crowd))
+    assert "SortMergeJoin" in plan
+    assert not re.search(r"BroadcastHashJoin \[key_q|BroadcastNestedLoopJoin", plan)
