@@ -243,7 +243,13 @@ def _picks(one: DataFrame, distance: int, similarity: float) -> DataFrame:
     first = index.groupBy("key").agg(F.min(F.struct("node", "fp", "n")).alias("f"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", "f")
     start = _start(F.col("key"))
     near = ring.viable(ring.rotated(F.col("fp").bitwiseXOR(F.col("f.fp")), start), start) & (F.least("n", "f.n") >= similarity * F.greatest("n", "f.n"))
-    return index.join(first, "key").filter((F.col("node") != F.col("f.node")) & near).select(F.col("node").alias("a"), F.col("f.node").alias("b"))
+    return spread(index).join(first, "key").filter((F.col("node") != F.col("f.node")) & near).select(F.col("node").alias("a"), F.col("f.node").alias("b"))
+
+
+def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, common (shingles in both sets), both (the sum of their sizes) for each pair."""
+    left, right = (sets.select(F.col("node").alias(node), F.col("shingles").alias(of)) for node, of in (("a", "of_a"), ("b", "of_b")))
+    return pairs.join(spread(left), "a").join(spread(right), "b").select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("common"), (F.size("of_a") + F.size("of_b")).alias("both"))
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -253,8 +259,7 @@ def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, si
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.join(held.select("who").distinct(), F.col("doc_id").eqNullSafe(F.col("who")), "left_semi")
     sets = materialize(_sets(texts.select("text"), width).join(held.select("key", "node"), "key").dropDuplicates(["node"]).select("node", "shingles"), "near-sets")
-    left, right = (sets.select(F.col("node").alias(node), F.col("shingles").alias(of)) for node, of in (("a", "of_a"), ("b", "of_b")))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("common"), (F.size("of_a") + F.size("of_b")).alias("both"))
+    met = _met(pairs, sets)
     out = materialize(met.filter(F.col("common") >= similarity * (F.col("both") - F.col("common"))).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-ties")
     release(sets)
     return out

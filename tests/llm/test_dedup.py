@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.components import connected_components
 from gridloom.llm.exact_dedup import exact_dedup, keep_first
-from gridloom.llm.simhash import keep_nearest_first, links, near_duplicates
+from gridloom.llm.simhash import _met, _picks, keep_nearest_first, links, near_duplicates
 
 SCHEMA = "doc_id long, text string, name string, bucket int, fp long"
 EDGES = [(5, None), (2, ""), (9, " \t\n "), (4, "one"), (3, "one  two"), (1, "one\n\ttwo"), (8, "one two "), (8, "one two "), (None, "one two"), (7, "é" * 3000), (6, "é" * 3000), (10, "é" * 2999 + "e"), (11, "x " * 40_000)]
@@ -175,3 +175,13 @@ def test_links_send_no_keys_through_the_driver(spark, tmp_path, crowd):
     plan = planned(links(spark.read.parquet(f"{tmp_path}/fps"), crowd=crowd))
     assert "SortMergeJoin" in plan
     assert not re.search(r"BroadcastHashJoin \[key_q|BroadcastNestedLoopJoin", plan)
+
+
+def test_picks_and_sets_don_t_pass_through_the_driver(spark, tmp_path):
+    """The same of the pipeline's stage: the keys of a node, and sets of shingles, which files hold many times smaller."""
+    spark.range(1000).selectExpr("id AS node", "id * 16 AS fp", "5L AS n").write.parquet(f"{tmp_path}/one")
+    assert not re.search(r"BroadcastHashJoin \[key", planned(_picks(spark.read.parquet(f"{tmp_path}/one"), 7, 0.8)))
+    spark.range(1000).selectExpr("id AS node", "sequence(id, id + 300) AS shingles").write.parquet(f"{tmp_path}/sets")
+    spark.range(1000).selectExpr("id AS a", "id + 1 AS b").write.parquet(f"{tmp_path}/pairs")
+    plan = planned(_met(spark.read.parquet(f"{tmp_path}/pairs"), spark.read.parquet(f"{tmp_path}/sets")))
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
