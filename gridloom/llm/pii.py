@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import fresh, let, materialize, release, rewritten, running, text_of
+from gridloom.llm.common import drop_shuffles, fresh, let, materialize, release, rewritten, running, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -110,6 +110,18 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM_PATTERN), F.lit(0)))
 
 
+def term_counts(docs: DataFrame, copies: bool = True) -> DataFrame:
+    """term, df_term: the different texts of docs that hold each term. copies: whether texts repeat; then one of each is taken first.
+
+    A task adds up its counts before they travel, so what is shuffled is the vocabulary of each task and, of texts that repeat, the
+    texts: less than the words of every text, which would have to meet their copies.
+    """
+    texts = docs.select(F.xxhash64(text_of()).alias("text_key"), text_of().alias("text"))
+    if copies:
+        texts = texts.groupBy("text_key").agg(F.first("text").alias("text"))
+    return texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
+
+
 def disclosing(held: DataFrame, docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """entity, term, removed: the pairs above the threshold. held: text_key, text, spans of the rows of docs with a span."""
     texts = held.groupBy("text_key").agg(F.first("text").alias("text"), F.first("spans").alias("spans"))
@@ -122,7 +134,7 @@ def disclosing(held: DataFrame, docs: DataFrame, support: int = SUPPORT, general
     terms = materialize(terms, "pii-words")
     # A term must be in `support` of the texts with such entities, and its count there is the least that it can have.
     seen = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_least")).filter(F.col("df_least") >= support)
-    n = docs.select(F.xxhash64(text_of()).alias("text_key")).distinct().count()
+    n, most = docs.groupBy(F.xxhash64(text_of()).alias("text_key")).agg(F.count(F.lit(1)).alias("k")).agg(F.count(F.lit(1)), F.max("k")).first()
     pairs = terms.join(known, "text_key").select("entities", F.explode("terms").alias("term")).select(F.explode("entities").alias("entity"), "term")
     pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_both")).filter(F.col("df_both") >= support)
     may = F.col("df_least") <= F.col("df_both") * F.pow(F.lit(float(n)) / F.col("df_entity"), F.lit(1 - generalise)) * 1.000001
@@ -131,12 +143,13 @@ def disclosing(held: DataFrame, docs: DataFrame, support: int = SUPPORT, general
         release(used)
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(False).alias("removed"))
-    words = docs.select(F.xxhash64(text_of()).alias("text_key"), F.explode(_terms(text_of())).alias("term"))
-    wanted = materialize(pairs.select("term").distinct(), "pii-wanted")  # written, so that Spark knows its size: while it is small, words don't travel
-    counts = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
-    scored = pairs.join(counts, "term")
+    drop_shuffles(docs.sparkSession)
+    scored = pairs.join(term_counts(docs, most > 1), "term")
     share = F.when(F.col("df_entity") < n, F.log2(F.col("df_both") * F.lit(float(n)) / F.col("df_term") / F.col("df_entity")) / F.log2(F.lit(float(n)) / F.col("df_entity")))
-    return materialize(scored.withColumn("share", share).filter(F.col("share") >= generalise).select("entity", "term", (F.col("share") >= remove).alias("removed")), "pii-disclosing")
+    out = materialize(scored.withColumn("share", share).filter(F.col("share") >= generalise).select("entity", "term", (F.col("share") >= remove).alias("removed")), "pii-disclosing")
+    release(pairs)
+    drop_shuffles(docs.sparkSession)
+    return out
 
 
 def _found(docs: DataFrame, options: dict) -> DataFrame:

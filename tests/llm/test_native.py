@@ -212,6 +212,35 @@ def test_terms_that_disclose(spark):
             assert out[i].text == "".join(cut) + t[at:]
 
 
+def travelled(spark):
+    """Records written to shuffles so far."""
+    sc, jvm = spark.sparkContext, spark.sparkContext._jvm
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in map(stages.apply, range(stages.size()))}
+
+
+@pytest.mark.parametrize("copies", [0, 40])
+def test_words_of_texts_do_not_travel(spark, copies):
+    """However large the tables are (none is broadcast), the terms of a text are counted where it is read; copies count once."""
+    rng = random.Random(8)
+    words = ["w" + "".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
+    text = lambda i: " ".join(rng.sample(words, 100)) + (f" zorblatt boss{i % 4}@corp.example" if i % 60 == 0 else "")
+    rows = [(i, text(i), "s") for i in range(1500)]
+    rows += [(2000 + i, rows[i * 30][1], "s") for i in range(copies)]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = travelled(spark)
+        got = {r.doc_id: r.n_term for r in personal_data(frame(spark, rows)).collect()}
+        records = sum(n for stage, n in travelled(spark).items() if stage not in before)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    want = brute_terms(rows)
+    assert got == {i: len(want[t]) for i, t, _ in rows} and any(got.values())
+    assert records < sum(len(t.split()) for _, t, _ in rows) / 2
+
+
 def test_sanitised_text(spark):
     rows = [(i, t, "s") for i, t in enumerate(texts_with_data())]
     got = {r.doc_id: r.text for r in sanitised(frame(spark, rows)).collect()}
