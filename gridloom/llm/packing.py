@@ -6,7 +6,7 @@ one with the greatest dot product of its demand and what the sequence has left,
 goes in. When none fits, an item is cut to fill the rest. An item longer than a sequence fills whole
 sequences first. What a task has left at its end goes into sequences of powers of two, so nothing is padded there.
 
-Each task packs the rows it reads: there is no shuffle, memory is the pool and one text, and a task that
+Each task packs the rows it reads: there is no shuffle, memory is the pool, a run of texts and one text, and a task that
 is run again gives the same sequences.
 """
 
@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import json
 import os
-import re
+import unicodedata
 import zlib
-from array import array
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 LENGTH, SEGMENTS, POOL = 4096, 1024, 1024
 #: Instruction data: pieces and loss-bearing tokens of a sequence.
 ANSWERS, ANSWER_LOSS = 64, 3072
-#: Rows that are cut into pieces together.
-CHUNK = 256
+#: Bytes of text that are encoded together.
+RUN = 1 << 23
 #: Sequences of one task are numbered from its partition's number times this.
 STRIDE = 1 << 36
 
@@ -130,14 +131,54 @@ class Packer:
         return out
 
 
+class PairTable:
+    """A number for each of some pairs of symbols, NONE for the others: two array look-ups a pair.
+
+    The place of a pair is its key times a factor of its bucket; factors are drawn until no two pairs share a place.
+    """
+
+    NONE = (1 << 16) - 1
+
+    def __init__(self, keys: np.ndarray, numbers: np.ndarray):
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("a pair is merged in one way only")
+        bits = max(8, len(keys).bit_length() + 1)
+        self.shift, self.bucket_shift = np.uint32(32 - bits), np.uint32(34 - bits)
+        self.keys, self.numbers = np.zeros(1 << bits, np.uint32), np.full(1 << bits, self.NONE, np.uint16)
+        self.factors = np.ones(1 << (bits - 2), np.uint32)
+        bucket = self._bucket(keys)
+        order = np.argsort(-np.bincount(bucket)[bucket], kind="stable")
+        keys, numbers, bucket = keys[order], numbers[order], bucket[order]
+        draws, taken = np.random.default_rng(0), np.zeros(1 << bits, bool)
+        while len(keys):
+            self.factors[bucket] = factor = np.uint32(draws.integers(1 << 31) * 2 + 1)
+            at = keys * factor >> self.shift
+            clash = np.ones(len(at), bool)
+            clash[np.unique(at, return_index=True)[1]] = False
+            failed = np.zeros(len(self.factors), bool)
+            failed[bucket[clash | taken[at]]] = True
+            again = failed[bucket]
+            at = at[~again]
+            taken[at], self.keys[at], self.numbers[at] = True, keys[~again], numbers[~again]
+            keys, numbers, bucket = keys[again], numbers[again], bucket[again]
+
+    def _bucket(self, keys: np.ndarray) -> np.ndarray:
+        return keys * np.uint32(0x9E3779B1) >> self.bucket_shift
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = keys * self.factors.take(self._bucket(keys)) >> self.shift
+        return np.where(self.keys.take(at) == keys, self.numbers.take(at), np.uint16(self.NONE))
+
+
 class Merges:
     """Pair merging of many words at once, for a vocabulary file with byte-level symbols and an end-of-word suffix.
 
-    A row of symbols and a row of ranks of adjacent pairs stand for each word; every round merges each word's pair of the
-    lowest rank, leftmost first, so a round is a few array operations however many words there are.
+    A column of symbols, links to the symbols before and after, and the ranks of the pairs stand for each word. Every round merges each
+    word's pair of the lowest rank, leftmost first, so a round is a few array operations however many words there are.
     """
 
-    NONE = 1 << 30
+    #: Bytes of a word at most: a rank and a place are one number, the place in its lowest bits.
+    LONGEST, PLACE = 48, 6
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -145,57 +186,63 @@ class Merges:
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         shown = _byte_symbols()
-        if max(vocab.values()) >= 1 << 16:
-            raise ValueError("a pair of ids must fit in 32 bits")
-        self.bytes = np.array([vocab[c] for c in shown], np.uint32)
-        self.last = np.array([vocab[c + end] for c in shown], np.uint32)
-        keys = np.array([vocab[a] << 16 | vocab[b] for a, b in merges], np.uint32)
-        order = np.argsort(keys)
-        self.keys, self.ranks = keys[order], order.astype(np.int32)
-        self.made = np.array([vocab[a + b] for a, b in merges], np.uint32)
-
-    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << np.uint32(16) | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], np.int32(self.NONE))
-
-    def ids(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """The packed ids of each word, none of them empty."""
-        out: dict[bytes, bytes] = {}
-        words = sorted(words, key=len)
-        for at in range(0, len(words), 2048):
-            self._merge(words[at : at + 2048], out)
-        return out
-
-    def _merge(self, words: list[bytes], out: dict[bytes, bytes]) -> None:
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        column = np.arange(int(size[-1]) + 1)
-        row, ids = np.arange(len(words)), np.zeros((len(words), len(column)), np.uint32)
-        raw = np.frombuffer(b"".join(words), np.uint8)
-        ids[column < size[:, None]] = self.bytes[raw]
-        ids[row, size - 1] = self.last[raw[np.cumsum(size) - 1]]
-        ranks = np.full(ids.shape, self.NONE, np.int32)
-        ranks[:, :-1] = np.where(column[1:] < size[:, None], self._rank(ids[:, :-1], ids[:, 1:]), self.NONE)
-        names = np.array(words, object)
-        while len(names):
-            best = ranks.argmin(1)
-            rank = ranks[np.arange(len(best)), best]
-            over = rank == self.NONE
-            if over.any():
-                for word, n, found in zip(names[over], size[over].tolist(), ids[over].astype("<u4", copy=False), strict=True):
-                    out[word] = found[:n].tobytes()
-                more = ~over
-                names, size, ids, ranks, best, rank = names[more], size[more], ids[more], ranks[more], best[more], rank[more]
-            if not len(names):
-                return
-            row = np.arange(len(best))
-            old = np.minimum(column + (column > best[:, None]), column[-1])
-            ids, ranks = np.take_along_axis(ids, old, 1), np.take_along_axis(ranks, old, 1)
-            ids[row, best] = self.made[rank]
-            size = size - 1
-            ranks[row, best] = np.where(best + 1 < size, self._rank(ids[row, best], ids[row, best + 1]), self.NONE)
-            left = best > 0
-            ranks[row[left], best[left] - 1] = self._rank(ids[row[left], best[left] - 1], ids[row[left], best[left]])
+        if max(max(vocab.values()), len(merges)) >= PairTable.NONE:
+            raise ValueError("a pair of ids must fit in 32 bits, and a rank in 16")
+        self.bytes = np.array([vocab[c] for c in shown], np.uint16)
+        self.last = np.array([vocab[c + end] for c in shown], np.uint16)
+        self.rank = PairTable(np.array([vocab[a] << 16 | vocab[b] for a, b in merges], np.uint32), np.arange(len(merges), dtype=np.uint16))
+        self.made = np.array([vocab[a + b] for a, b in merges], np.uint16)
+
+    def ids(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+        """The packed ids of each word: size bytes of raw from start on, at least one and at most LONGEST."""
+        order = np.argsort(size, kind="stable")
+        found = [self._merge(raw, start[some], size[some]) for at in range(0, len(order), 4096) for some in [order[at : at + 4096]]]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return _binary(np.concatenate([i for i, _ in found] or [[]]), np.concatenate([n for _, n in found] or [[]])).take(pa.array(place))
+
+    def _merge(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words sorted by size, one word after the other, and the number of ids of each."""
+        words, longest = len(size), int(size[-1])
+        none, low = np.uint32(PairTable.NONE << self.PLACE), np.uint32((1 << self.PLACE) - 1)
+        ids = np.full((longest + 1, words), PairTable.NONE, np.uint16)  # the last row belongs to no word
+        for k in range(longest):
+            more = np.searchsorted(size, k, "right")
+            ids[k, more:] = self.bytes[raw[start[more:] + k]]
+        ids[size - 1, np.arange(words)] = self.last[raw[start + size - 1]]
+        live = ids != PairTable.NONE
+        column = np.arange(longest + 1, dtype=np.uint32).repeat(words)
+        ranks = np.full(ids.shape, none, np.uint32)
+        ranks[:-1] = self._key(ids[:-1], ids[1:], column[:-words].reshape(longest, words))
+        after = np.arange(words, words * (longest + 2))
+        before = after - 2 * words
+        before[:words] += words * (longest + 1)
+        flat, ranked, lives = ids.reshape(-1), ranks.reshape(-1), live.reshape(-1)
+        while True:
+            best = ranks.min(0)
+            word = np.flatnonzero(best < none)
+            if not len(word):
+                return ids.T[live.T], live.sum(0)
+            best = best[word]
+            at = (best & low) * words + word
+            gone, left = after.take(at), before.take(at)
+            right = after.take(gone)
+            new = self.made.take(best >> self.PLACE)
+            flat[at], after[at], before[right] = new, right, at
+            lives[gone], ranked[gone] = False, none
+            first, second = np.concatenate([flat.take(left), new]), np.concatenate([new, flat.take(right)])
+            where = np.concatenate([left, at])
+            ranked[where] = self._key(first, second, column.take(where))
+
+    def _key(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The rank of a pair, with its place behind; without a rank it isn't less than none."""
+        return self.rank(left.astype(np.uint32) << np.uint32(16) | right).astype(np.uint32) << np.uint32(self.PLACE) | place
+
+
+def _binary(ids: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Packed ids as an array of binaries, size[k] ids in the k-th."""
+    ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64) * 4]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4"))])
 
 
 def _byte_symbols() -> list[str]:
@@ -205,65 +252,118 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
-#: The tokeniser's pieces of a lower-case text in Latin-1.
-PIECES_LATIN1 = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\sa-z0-9ªµºß-öø-ÿ²³¹¼-¾]+")
-#: These are white space to Python only; texts with them go the other way.
-CONTROL, ASCII_SPACES = re.compile("[\x1c-\x1f]"), re.compile(r"[\x20\x09-\x0D]+")
+OTHER, LETTER, DIGIT, SPACE = range(4)
+
+
+def _latin1() -> tuple[np.ndarray, np.ndarray]:
+    """For the last byte of each Latin-1 character in UTF-8, plus 256 after byte C2 and 512 after C3: the byte of its lower case, and its class to the tokeniser."""
+    lower, kind = np.arange(768) % 256, np.full(768, OTHER)
+    for c in map(chr, range(256)):
+        lead, byte = [0, *c.encode()][-2:]
+        at = byte + {0: 0, 0xC2: 256, 0xC3: 512}[lead]
+        lower[at] = c.lower().encode()[-1]
+        kind[at] = SPACE if c in "\t\n\v\f\r \x85\xa0" else {"L": LETTER, "N": DIGIT}.get(unicodedata.category(c)[0], OTHER)
+    return lower.astype(np.uint8), kind.astype(np.uint8)
+
+
+LOWER, KIND = _latin1()
 
 
 class WordIds:
-    """The packed ids of texts. The tokeniser works on pieces of a text apart, so each piece's ids are kept.
+    """The packed ids of texts. The tokeniser works on words between white space apart, so a run's texts share each word's ids.
 
-    Texts in Latin-1 are lower-cased and cut into pieces here, and Merges takes the new ones many at a time. Other texts are cut
-    at ASCII white space, which the tokeniser drops, and it encodes the new words itself. Two generations of `most`
-    pieces each are kept: those that are met again move to the younger.
+    Words in Latin-1 are lower-cased and cut into pieces here: runs of letters, single digits, runs of other characters. Merges
+    takes the different pieces of all of them together. The tokeniser itself encodes other words, those with an apostrophe, which may
+    begin a piece of its own, and long pieces. Of what it encoded, two generations of `most` words or `most_bytes` bytes each
+    are kept: those that are met again move to the younger.
     """
 
-    def __init__(self, path: str, most: int = 400_000, longest: int = 48):
+    def __init__(self, path: str, most: int = 400_000, most_bytes: int = 50_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.merges, self.most, self.longest = Tokenizer.from_file(path), Merges(path), most, longest
+        self.tokenizer, self.merges, self.most, self.most_bytes = Tokenizer.from_file(path), Merges(path), most, most_bytes
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    @staticmethod
-    def _latin1(text: str) -> bool:
-        if text.isascii():
-            return True
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return False
-        return True
-
-    def _cut(self, text: str) -> list[str]:
-        if self._latin1(text) and not CONTROL.search(text):
-            return PIECES_LATIN1.findall(text.lower())
-        return ASCII_SPACES.split(text)
-
-    def _learn(self, new: set[str]) -> None:
-        found = {p: ids for p in new if (ids := self.old.get(p)) is not None}
-        fresh = [p for p in new if p not in found]
-        plain = [p for p in fresh if len(p) <= self.longest and self._latin1(p) and p == p.lower() and PIECES_LATIN1.fullmatch(p)]
-        packed = [p.encode("utf-8") for p in plain]
-        known = self.merges.ids(packed)
-        found |= zip(plain, map(known.__getitem__, packed), strict=True)
-        other = [p for p in fresh if p not in found]
-        for at in range(0, len(other), 1024):
-            some = other[at : at + 1024]
-            encoded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            found |= {p: array("I", e.ids).tobytes() for p, e in zip(some, encoded, strict=True)}
-        self.young |= found
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self._cut(text or "") for text in texts]
-        self._learn(set().union(*cut).difference(self.young))
-        out = [b"".join(map(self.young.__getitem__, pieces)) for pieces in cut]
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-        return out
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def ids(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        texts.validate(full=True)  # else bytes that aren't UTF-8 would pass for characters
+        cut = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        words = cut.flatten().dictionary_encode()
+        found = self._words(words.dictionary).take(words.indices)
+        ends = _ends(found)[np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy())]).astype(np.int64)].tolist()
+        data = memoryview(found.buffers()[2] or b"")
+        return [bytes(data[a:b]) for a, b in pairwise(ends)]
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """The packed ids of different words without ASCII white space."""
+        ends, raw = _ends(words), np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        raw = raw[: ends[-1]]
+        hard = np.zeros(len(words), bool)
+        hard[np.searchsorted(ends, np.flatnonzero((raw >= 0xC4) | (raw == ord("'"))), "right") - 1] = True
+        word = np.arange(len(words), dtype=np.int32).repeat(np.diff(ends))
+        # classes of bytes: a lead byte has that of its character
+        lead = np.flatnonzero((raw == 0xC2) | (raw == 0xC3))
+        coded = raw.astype(np.int16)
+        coded[lead + 1] += np.int16(256) * (raw[lead] - np.int16(0xC1))
+        kind, lower = KIND.take(coded), LOWER.take(coded)
+        kind[lead] = kind[lead + 1]
+        first = np.ones(len(raw), bool)
+        first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT) | (word[1:] != word[:-1])
+        first[lead + 1] = False
+        kept = (kind != SPACE) & ~hard[word]
+        first, lower, word = first[kept], lower[kept], word[kept]
+        starts = np.flatnonzero(first)
+        bounds = np.append(starts, len(lower)).astype(np.int64)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(lower)]).dictionary_encode()
+        made = self._pieces(pieces.dictionary).take(pieces.indices)
+        # a word's ids are those of its pieces, which stand together
+        before = np.searchsorted(word[starts], np.arange(len(words) + 1, dtype=np.int32))
+        plain = pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(_ends(made)[before]), made.buffers()[2] or pa.py_buffer(b"")])
+        if not hard.any():
+            return plain
+        which = np.arange(len(words))
+        which[hard] = len(words) + np.arange(hard.sum())
+        other = pa.array(self._encoded(words.filter(pa.array(hard)).cast(pa.large_binary()).to_pylist()), pa.large_binary())
+        return pa.concat_arrays([plain, other]).take(pa.array(which))
+
+    def _pieces(self, pieces: pa.Array) -> pa.Array:
+        """The packed ids of different pieces in lower case."""
+        ends, raw = _ends(pieces), np.frombuffer(pieces.buffers()[2] or b"", np.uint8)
+        size = np.diff(ends)
+        long = size > self.merges.LONGEST
+        short = np.flatnonzero(~long)
+        made = self.merges.ids(raw, ends[short], size[short])
+        if not long.any():
+            return made
+        which = np.empty(len(pieces), np.int64)
+        which[short], which[long] = np.arange(len(short)), len(short) + np.arange(long.sum())
+        other = pa.array(self._encoded(pieces.filter(pa.array(long)).to_pylist()), pa.large_binary())
+        return pa.concat_arrays([made, other]).take(pa.array(which))
+
+    def _encoded(self, words: list[bytes]) -> list[bytes]:
+        """The packed ids of words by the tokeniser itself."""
+        out = {w: ids for w in words if (ids := self.young.get(w)) is not None}
+        more = {w: ids for w in words if w not in out and (ids := self.old.get(w)) is not None}
+        fresh = [w for w in words if w not in out and w not in more]
+        for at in range(0, len(fresh), 1024):
+            some = fresh[at : at + 1024]
+            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+            more |= {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(some, encoded, strict=True)}
+        out |= more
+        self.young |= more
+        self.held += sum(len(w) + len(ids) for w, ids in more.items())
+        if len(self.young) > self.most or self.held > self.most_bytes:
+            self.old, self.young, self.held = self.young, {}, 0
+        return [out[w] for w in words]
+
+
+def _ends(values: pa.Array) -> np.ndarray:
+    """Where each value of a large string or binary array without nulls begins, and where the last ends."""
+    return np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int64)
 
 
 _loaded: dict[str, WordIds] = {}
@@ -275,6 +375,13 @@ def word_ids(path: str) -> WordIds:
     return _loaded[path]
 
 
+def _runs(batch: pa.RecordBatch):
+    """The rows of a batch in runs of about RUN bytes of text."""
+    held = np.cumsum(sum(pc.binary_length(batch.column(c)).fill_null(0).to_numpy().astype(np.int64) for c in ("text", "prompt")))
+    cuts = [0, *(np.flatnonzero(np.diff(held // RUN)) + 1).tolist(), batch.num_rows]
+    return (batch.slice(a, b - a) for a, b in pairwise(cuts))
+
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -308,10 +415,9 @@ def packed_documents(docs: DataFrame, path: str, end_id: int = 2, length: int =
             return out
 
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                some = batch.slice(at, CHUNK)
-                heads = [b""] * some.num_rows if prompt is None else words.ids(some.column("prompt").to_pylist())
-                for doc, head, ids in zip(some.column("doc_id").to_pylist(), heads, words.ids(some.column("text").to_pylist()), strict=True):
+            for some in _runs(batch):
+                heads = [b""] * some.num_rows if prompt is None else words.ids(some.column("prompt"))
+                for doc, head, ids in zip(some.column("doc_id").to_pylist(), heads, words.ids(some.column("text")), strict=True):
                     ids = head + ids + end
                     for sequence in packer.add(Item((doc, ids), 0, len(ids) // 4, len(head) // 4)):
                         written(sequence)

@@ -1,16 +1,21 @@
 """Packing: every token once, every limit kept, the tokeniser's own ids."""
 
 import random
+import re
+import time
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from gridloom.llm.packing import Item, Packer, packed_answers, packed_documents, word_ids
+from gridloom.llm.packing import RUN, Item, Packer, WordIds, _runs, packed_answers, packed_documents, word_ids
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -84,6 +89,50 @@ def test_ids_are_the_tokeniser_s(texts):
     assert words.ids(texts) == want and words.ids(texts) == want
 
 
+def test_ids_of_every_latin1_character_and_of_long_and_odd_words():
+    tokenizer = Tokenizer.from_file(PATH)
+    tokenizer.encode_special_tokens = True
+    latin = [chr(c) for c in range(256)]
+    texts = [t for c in latin for t in (c, f"A{c}b", f"{c}É{c}{c}9", f"7{c}", f"'{c}s!{c}'LL")] + ["".join(latin), "".join(random.Random(c).choices(latin, k=300)[0] for c in range(2000))]
+    texts += [x * n for x in ("a", "É", "#", "7", "a.", "ß'", "字") for n in range(1, 60)] + ["", " ", "\x85", "\xa0\xa0", "'", "İJ\u030c j\u030c", "e\u0301 E\u0301", "b" * 5000, "=" * 5000 + "é"]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    words = WordIds(PATH, most=50, most_bytes=10_000)
+    assert words.ids(texts) == want and [i for t in texts for i in words.ids([t])] == want
+    odd = pa.array([None, *texts, None], pa.string())
+    assert words.ids(odd.slice(1, len(texts))) == want and words.ids(odd)[::len(odd) - 1] == [b"", b""] and words.ids([]) == []
+    assert words.held <= 10_000 and len(words.young) <= 50
+    for broken in (b"a\xc3 b", b"\xc3", b"a\xffb"):
+        with pytest.raises(pa.ArrowInvalid):
+            words.ids(pa.array([broken]).view(pa.string()))
+
+
+def test_ids_cost_little_more_than_cutting_the_texts():
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column("text").combine_chunks()[:5000]
+    plain = [t or "" for t in texts.to_pylist()]
+    piece = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\sa-z0-9ªµºß-öø-ÿ²³¹¼-¾]+")
+
+    def least(run, made):
+        seconds = []
+        for _ in range(3):
+            given, began = made(), time.process_time()
+            run(given)
+            seconds.append(time.process_time() - began)
+        return min(seconds)
+
+    cut = least(lambda _: [piece.findall(t.lower()) for t in plain], lambda: None)
+    encoded = least(lambda words: [words.ids(plain[at : at + 1000]) for at in range(0, len(plain), 1000)], lambda: WordIds(PATH))
+    assert encoded < 2.5 * cut
+
+
+def test_runs_of_a_batch():
+    texts = ["a" * n for n in (0, 5, RUN, 3, 2 * RUN, 1, 1)] + [None] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(texts), pa.array([None] * 10, pa.string())], ["doc_id", "text", "prompt"])
+    runs = [r.column("doc_id").to_pylist() for r in _runs(batch)]
+    assert sum(runs, []) == [*range(10)] and len(runs) > 1 and all(runs)
+    assert all(sum(len(texts[i] or "") for i in r[1:]) < RUN for r in runs)
+    assert [r.num_rows for r in _runs(batch.slice(0, 0))] == [0]
+
+
 def first_fit(items, length, segments, loss):
     """Sequences opened by taking each item, cut at the length and the loss, into the first that has room."""
     bins = []
