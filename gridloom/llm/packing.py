@@ -30,7 +30,7 @@ LENGTH, SEGMENTS, POOL = 4096, 1024, 1024
 #: Instruction data: pieces and loss-bearing tokens of a sequence.
 ANSWERS, ANSWER_LOSS = 64, 3072
 #: Bytes of text that are encoded together.
-RUN = 1 << 23
+RUN = 1 << 22
 #: Sequences of one task are numbered from its partition's number times this.
 STRIDE = 1 << 36
 
