@@ -71,6 +71,16 @@ def test_all_pairs(spark, tile):
     assert dense(far, (7, 7)).tolist() == [[10.0 * i + j if i <= j else 0.0 for j in range(7)] for i in range(7)]
 
 
+def test_sums_over_elements_run_in_tiles(spark):
+    rng = np.random.default_rng(5)
+    a = np.round(rng.normal(size=(23, 6)), 1)
+    a[17] = a[4]
+    want = np.triu(np.abs(a[:, None] - a[None]).sum(-1))
+    got = P.all_pairs(wide(spark, a), kernel=P.folded(lambda x, y: abs(x - y)), tile=4, places=1)
+    assert dense(got, (23, 23)).tolist() == np.round(want, 1).tolist() and got.count() == 23 * 24 // 2
+    assert P.half_up(np.array([0.5, -0.5, 2.5, -0.2, 1.45]), 0).tolist() == [1.0, -1.0, 3.0, 0.0, 1.0]
+
+
 def test_correlations(spark):
     rng = np.random.default_rng(3)
     a = np.round(rng.normal(size=(6, 9)), 1)
