@@ -10,7 +10,7 @@ from gridloom import matrix as M
 from gridloom.operators import pairs as P
 from gridloom.operators import patterns as A
 from gridloom.operators import ranks as R
-from gridloom.operators.correlation import kendall, pearson, rank_correlation
+from gridloom.operators.correlation import kendall, pearson, pearson_clr, pearson_stouffer, rank_correlation, strongest
 from gridloom.plans import tiles as L
 
 
@@ -104,6 +104,43 @@ def test_reduce_transform_on_a_flat_background(spark):
     assert {(r["row_id"], r["col_id"]) for r in top.collect()} == {(0, 1), (1, 2), (2, 0)}
 
 
+def _plan(frame):
+    return frame._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("build", [lambda m: pearson(m, 5, at_least=0.7), lambda m: pearson(m, 5, both=True), lambda m: rank_correlation(m, 5), kendall, lambda m: strongest(m, 5, 2)])
+def test_tiles_are_never_broadcast(spark, build):
+    m = wide(spark, np.random.default_rng(6).normal(size=(9, 5)))
+    assert "Broadcast" not in _plan(build(m)) and "Join" not in _plan(build(m))
+
+
+def test_few_copies_of_a_row_travel(spark):
+    """Rows travel once for each block they meet, of which there are few, not for each tile of 256 rows."""
+    assert P.block_rows(51_282, 64, 256) == 1536 and P.block_rows(10**6, 64, 256) == 8192 and P.block_rows(500, 64, 256) == 256
+    assert P.block_rows(10**6, 1024, 256) == 512 and P.block_rows(10, 10**9, 256) == 256
+    a = np.random.default_rng(7).normal(size=(700, 2))
+    size = P.shape(wide(spark, a))
+    assert size == (700, 2) and P._tiles(wide(spark, a), None, 2, size, size).count() <= 34 * 35 // 2
+
+
+@pytest.mark.parametrize("tile", [1, 3, 256])
+def test_networks_inside_tiles(spark, tile):
+    """Cells scored, and the strongest edges chosen, inside the tiles: as the operators on the whole network give them."""
+    a = np.round(np.random.default_rng(8).normal(size=(11, 7)), 1)
+    a[9], a[5], a[10] = a[2], a[2], 1.5
+    m = wide(spark, a)
+    network = P.reflected(pearson(m, 7)).cache()
+    assert np.allclose(dense(pearson(m, 7, tile=tile, both=True), (11, 11)), dense(network, (11, 11)))
+    assert np.allclose(dense(pearson_clr(m, 7, tile), (11, 11)), dense(A.clr(network), (11, 11)))
+    assert np.allclose(dense(pearson_stouffer(m, 7, tile), (11, 11)), dense(A.stouffer(network), (11, 11)))
+    got = sorted((r["row_id"], r["place"], r["col_id"]) for r in strongest(m, 7, 4, tile).collect())
+    with np.errstate(invalid="ignore"):
+        exact = np.round(np.nan_to_num(np.corrcoef(a)), 9)
+    assert got == [(i, n + 1, j) for i in range(11) for n, j in enumerate(sorted(set(range(11)) - {i}, key=lambda j: (-exact[i, j], j))[:4])]
+    flat = wide(spark, np.ones((4, 4)))
+    assert not dense(pearson_clr(flat, 4, tile), (4, 4)).any() and not dense(pearson_stouffer(flat, 4, tile), (4, 4)).any()
+
+
 @pytest.mark.parametrize("width", range(1, 12))
 def test_band_keeps_each_pair_once(spark, width):
     kept = L.banded(L.fixed_grid(spark, width, width, 1, 1), width).collect()
