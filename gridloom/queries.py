@@ -50,7 +50,11 @@ def rounded(c: str | Column, places: int = 6) -> Column:
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("vec_id").cast("string").alias("row_name"), F.col("embedding").cast("array<double>").alias("values"))
+    return _vectors(table(spark, sf_dir, "embeddings"))
+
+
+def _vectors(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("vec_id").alias("row_id"), F.col("vec_id").cast("string").alias("row_name"), F.col("embedding").cast("array<double>").alias("values"))
 
 
 def supplier_cells(spark: SparkSession, sf_dir: str, measure: str = "l_extendedprice") -> DataFrame:
@@ -262,9 +266,8 @@ def pairs_by_expression(spark, sf_dir):
 @query(f"""WITH {E_SQL}, g AS (SELECT vec_id, label FROM embeddings) SELECT a.row_id, b.row_id AS col_id, round(sum(a.value * b.value), 6) + 0.0 AS value
     FROM e a JOIN g ga ON ga.vec_id = a.row_id AND ga.label < 3 JOIN e b ON a.col_id = b.col_id JOIN g gb ON gb.vec_id = b.row_id AND gb.label >= 3 GROUP BY 1, 2""")
 def dot_two_matrices(spark, sf_dir):
-    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "label")
-    rows = embeddings(spark, sf_dir).join(labels, "row_id")
-    return P.all_pairs(rows.filter("label < 3").drop("label"), rows.filter("label >= 3").drop("label")).select("row_id", "col_id", rounded("value").alias("value"))
+    of = lambda condition: _vectors(table(spark, sf_dir, "embeddings").filter(condition))
+    return P.all_pairs(of("label < 3"), of("label >= 3"), places=6)
 
 
 @query(f"WITH {E_SQL}, {PARAMS.format(t='e')}, z AS (SELECT row_id, col_id, {Z_SQL} AS value FROM p) " + PAIRS.replace("FROM e a JOIN e b", "FROM z a JOIN z b").format(x="sum(a.value * b.value) / 63"))
