@@ -283,7 +283,7 @@ def rank_corr_all_pairs(spark, sf_dir):
 @query(f"""WITH {C_SQL}, q AS (SELECT a.row_id AS i, a.col_id AS x, b.col_id AS y, sign(a.value - b.value) AS s FROM c a JOIN c b ON a.row_id = b.row_id AND a.col_id < b.col_id)
     SELECT a.i AS row_id, b.i AS col_id, round(sum(a.s * b.s) / 66.0, 6) + 0.0 AS value FROM q a JOIN q b ON a.x = b.x AND a.y = b.y AND a.i <= b.i GROUP BY 1, 2""")
 def kendall_all_pairs(spark, sf_dir):
-    return kendall(suppliers(spark, sf_dir)).select("row_id", "col_id", rounded("value").alias("value"))
+    return kendall(suppliers(spark, sf_dir), places=6)
 
 
 # --- networks ---
