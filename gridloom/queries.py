@@ -303,7 +303,7 @@ BACKGROUND = ", k AS (SELECT row_id, avg(value) AS mu, stddev_samp(value) AS sd
 
 @query(C_CORR + BACKGROUND + " SELECT row_id, col_id, round(sqrt(greatest(zr, 0) ** 2 + greatest(zc, 0) ** 2), 5) + 0.0 AS value FROM x")
 def reduce_transform_clr(spark, sf_dir):
-    return A.clr(_network(spark, sf_dir)).select("row_id", "col_id", rounded("value", 5).alias("value"))
+    return pearson_clr(suppliers(spark, sf_dir), MONTHS, places=5)
 
 
 @query(C_CORR + BACKGROUND + " SELECT row_id, col_id, round((zr + zc) / sqrt(2.0), 5) + 0.0 AS value FROM x")
