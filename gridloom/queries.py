@@ -318,7 +318,7 @@ def topk_edges(spark, sf_dir):
 
 @query(C_CORR + " SELECT row_id, col_id, round(value, 6) + 0.0 AS value FROM r WHERE row_id <= col_id AND abs(value) >= 0.7")
 def threshold_edges(spark, sf_dir):
-    return pearson(suppliers(spark, sf_dir), MONTHS, at_least=0.7).select("row_id", "col_id", rounded("value").alias("value"))
+    return pearson(suppliers(spark, sf_dir), MONTHS, at_least=0.7, places=6)
 
 
 # --- partitions and tiles ---
