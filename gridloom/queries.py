@@ -277,7 +277,7 @@ def pearson_all_pairs(spark, sf_dir):
 @query(f"""WITH {C_SQL}, d AS (SELECT row_id, col_id, dense_rank() OVER (PARTITION BY row_id ORDER BY value)::DOUBLE AS value FROM c), {PARAMS.format(t='d')},
     z AS (SELECT row_id, col_id, {Z_SQL} AS z FROM p), {CORR.format(on='AND a.row_id <= b.row_id')} SELECT row_id, col_id, round(value, 6) + 0.0 AS value FROM r""")
 def rank_corr_all_pairs(spark, sf_dir):
-    return rank_correlation(suppliers(spark, sf_dir), MONTHS).select("row_id", "col_id", rounded("value").alias("value"))
+    return rank_correlation(suppliers(spark, sf_dir), MONTHS, places=6)
 
 
 @query(f"""WITH {C_SQL}, q AS (SELECT a.row_id AS i, a.col_id AS x, b.col_id AS y, sign(a.value - b.value) AS s FROM c a JOIN c b ON a.row_id = b.row_id AND a.col_id < b.col_id)
@@ -289,10 +289,6 @@ def kendall_all_pairs(spark, sf_dir):
 # --- networks ---
 
 
-def _network(spark, sf_dir):
-    return P.reflected(pearson(suppliers(spark, sf_dir), MONTHS))
-
-
 @query(C_CORR + " SELECT row_id, col_id, round(value, 6) + 0.0 AS value FROM r")
 def adjacency(spark, sf_dir):
     return pearson(suppliers(spark, sf_dir), MONTHS, both=True, places=6)
@@ -308,12 +304,12 @@ def reduce_transform_clr(spark, sf_dir):
 
 @query(C_CORR + BACKGROUND + " SELECT row_id, col_id, round((zr + zc) / sqrt(2.0), 5) + 0.0 AS value FROM x")
 def reduce_transform_stouffer(spark, sf_dir):
-    return A.stouffer(_network(spark, sf_dir)).select("row_id", "col_id", rounded("value", 5).alias("value"))
+    return pearson_stouffer(suppliers(spark, sf_dir), MONTHS, places=5)
 
 
 @query(C_CORR + " SELECT row_id, col_id, round(value, 6) + 0.0 AS value, (row_number() OVER (PARTITION BY row_id ORDER BY value DESC, col_id))::INT AS place FROM r WHERE row_id <> col_id QUALIFY place <= 5")
 def topk_edges(spark, sf_dir):
-    return P.top_edges(_network(spark, sf_dir), 5).select("row_id", "col_id", rounded("value").alias("value"), "place")
+    return strongest(suppliers(spark, sf_dir), MONTHS, 5).select("row_id", "col_id", rounded("value").alias("value"), "place")
 
 
 @query(C_CORR + " SELECT row_id, col_id, round(value, 6) + 0.0 AS value FROM r WHERE row_id <= col_id AND abs(value) >= 0.7")
